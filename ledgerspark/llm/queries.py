@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import byte_bpe, line_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts
+from ledgerspark.llm import byte_bpe, hilbert_search, language_id, line_dedup, minhash_dedup, mtree_search, packing, substring_dedup, suffix_dedup, token_counts
 from ledgerspark.llm.common import table
 
 
@@ -36,6 +36,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer(byte_bpe.NAME), public_tokenizers.PATTERN)
 
 
+def op6_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -44,5 +56,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(token_counts.NAME))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_byte_bpe, op9_substring_dedup, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_byte_bpe, op6_hilbert_search, op7_language_id, op8_mtree_search, op9_substring_dedup, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op8_mtree_search": mtree_search.SQL}
