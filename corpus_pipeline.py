@@ -13,7 +13,7 @@ from ledgerspark.llm.common import stored, table
 from ledgerspark.llm.queries import tokenizer
 
 #: Below this share of its words' likelihood the best language is no better than chance among several.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,11 +14,14 @@ without an id. Columns beside doc_id, text and lang aren't read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
 PER_LANGUAGE, N_GRAM, MOST = 1000, 4, 300_000
@@ -66,6 +69,7 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str
 
 class Model:
     def __init__(self, counts: list[tuple[str, int, str, int]]):
+        self.name = uuid.uuid4().hex
         self.languages = sorted({c[0] for c in counts})
         at = {x: i for i, x in enumerate(self.languages)}
         self.orders = []
@@ -99,42 +103,64 @@ class Predictor:
         e = np.exp(logs - logs.max(1, keepdims=True)) if logs.size else logs
         return np.hstack([logs, e / e.sum(1, keepdims=True)]) if logs.size else np.zeros((len(logs), 2 * logs.shape[1]))
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The mean log frequencies of each word's longest n-grams of which some are known."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        left = np.arange(len(words))
         for n in range(N_GRAM, 0, -1):
+            if not len(left):
+                break
             place, table = self.model.orders[n]
-            known = [place[g] for g in grams(word, n) if g in place]
-            if known:
-                return table[known].mean(0)
-        return np.zeros(len(self.model.languages))
-
-    def vectors(self, words: list[str]) -> np.ndarray:
-        new = set(words) - self.place.keys()
-        if len(self.place) + len(new) > self.base + MOST:
+            split = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(s) for s in split])
+            at = np.array([place.get(g, -1) for s in split for g in s], np.int64)
+            owner, at = owner[at >= 0], at[at >= 0]
+            times = np.bincount(owner, minlength=len(left))
+            known = times > 0
+            for c in range(out.shape[1]):
+                out[left[known], c] = (np.bincount(owner, table[at, c], len(left)) if len(at) else np.zeros(len(left)))[known] / times[known]
+            left = left[~known]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        new = sorted(words - self.place.keys())
+        at = len(self.place)
+        if at + len(new) > self.base + MOST:
             self.reset()
-            new = set(words) - self.place.keys()
-        if len(new) > MOST:  # one huge text
-            return np.array([self.unseen_or_known(w) for w in words])
+            new, at = sorted(words - self.place.keys()), self.base
+        if at + len(new) > len(self.rows):  # one huge text
+            self.rows = np.vstack([self.rows, np.empty((at + len(new) - len(self.rows), self.rows.shape[1]))])
         if new:
-            new = sorted(new)
-            at = len(self.place)
-            self.rows[at : at + len(new)] = self.with_share(np.array([self.unseen(w) for w in new]))
-            self.place.update((w, at + i) for i, w in enumerate(new))
-        return self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
-
-    def unseen_or_known(self, word: str) -> np.ndarray:
-        i = self.place.get(word)
-        return self.rows[i] if i is not None else self.with_share(self.unseen(word)[None, :])[0]
+            self.rows[at : at + len(new)] = self.with_share(self.unseen(new))
+            self.place.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         n = len(self.model.languages)
-        words = self.find(text.lower()) if text and n else []
-        if not words:
-            return "und", 0.0
-        total = np.zeros(2 * n)
-        for i in range(0, len(words), 50_000):
-            total += self.vectors(words[i : i + 50_000]).sum(0)
-        best = int(np.argmax(total[:n]))
-        return self.model.languages[best], float(min(1.0, total[n + best] / len(words)))
+        out = []
+        for some in by_chars([t or "" for t in texts]):
+            split = [self.find(t.lower()) if n else [] for t in some]
+            self.learn(set().union(*split))
+            for words in split:
+                if not words:
+                    out.append(("und", 0.0))
+                    continue
+                total = np.zeros(2 * n)
+                for i in range(0, len(words), 50_000):
+                    total += self.rows[np.fromiter(map(self.place.__getitem__, words[i : i + 50_000]), np.int64)].sum(0)
+                best = int(np.argmax(total[:n]))
+                out.append((self.model.languages[best], float(min(1.0, total[n + best] / len(words)))))
+        return out
+
+
+_predictors: dict[str, Predictor] = {}
+
+
+def predictor(model: Model) -> Predictor:
+    """One for each model and worker."""
+    if model.name not in _predictors:
+        _predictors.clear()
+        _predictors[model.name] = Predictor(model)
+    return _predictors[model.name]
 
 
 def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE):
@@ -144,9 +170,9 @@ def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE):
     model = spark.sparkContext.broadcast(Model(learned(docs, per_language)))
 
     def run(batches):
-        predict = Predictor(model.value)
+        predict = predictor(model.value)
         for batch in batches:
-            got = [predict(t) for t in batch.column(1).to_pylist()]
+            got = predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "__lang", "__score"])
 
     return run
