@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import kept_by
 from ledgerspark.llm.pieces import Memory, by_chars, parts
 from ledgerspark.shipping import ship
 
@@ -27,6 +28,7 @@ NAME = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, which the tokenizer library means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+MOST = 1_000_000  # parts remembered in a worker
 STEP = 1 << 20  # bytes of pre-tokens in one query
 
 CONTRACT = """
@@ -46,7 +48,7 @@ WITH RECURSIVE step(place, token, live) AS (
     FROM ranked r JOIN least l ON l.word = r.word
     WHERE l.best IS NULL OR r.before_at IS DISTINCT FROM (r.word << 10 | (l.best & 1023)))
 )
-SELECT place >> 10 AS word, list(token ORDER BY place) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT place >> 10 AS word, place & 1023 AS pos, token FROM step WHERE NOT live
 """
 
 #: The same for long pre-tokens, whose pairs of one rank contract together where that is safe.
@@ -76,12 +78,18 @@ WITH RECURSIVE step(word, pos, token, live) AS (
     LEFT JOIN picked g ON g.word = r.word AND g.n = r.n - 1
     WHERE g.word IS NULL)
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT word, pos, token FROM step WHERE NOT live
+"""
+
+#: Ids as decimals, and the bytes they decode to.
+AGGREGATE = """
+SELECT e.word, count(*), string_agg(e.token, ',' ORDER BY e.pos), from_hex(string_agg(t.hex, '' ORDER BY e.pos))
+FROM encoded e JOIN tokens t ON t.id = e.token GROUP BY e.word
 """
 
 DECODE = """
-SELECT u.word, from_hex(string_agg(hex(t.bytes), '' ORDER BY u.i)) AS bytes
-FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM encoded) u JOIN tokens t ON t.id = u.id
+SELECT u.word, from_hex(string_agg(t.hex, '' ORDER BY u.i)) AS bytes
+FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM given_ids) u JOIN tokens t ON t.id = u.id
 GROUP BY u.word
 """
 
@@ -116,15 +124,15 @@ class Coder:
         self.db.register("given", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
-        self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
+        self.db.execute("CREATE TABLE tokens AS SELECT id, bytes, hex(bytes) AS hex FROM given")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
-        self.memory = Memory(self.code_parts)
+        self.memory = Memory(self.code_parts, MOST)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token, by the recursive query but for those that are tokens themselves."""
-        out: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
-        rest = [i for i, ids in enumerate(out) if not ids and words[i]]
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Each pre-token's number of ids, ids and decoded bytes, by the queries but for those that are tokens."""
+        out = [(1, b"%d" % self.ranks[w], w) if w in self.ranks else (0, b"", b"") for w in words]
+        rest = [i for i, w in enumerate(words) if w and w not in self.ranks]
         for query, chosen in ((CONTRACT, [i for i in rest if len(words[i]) <= 64]), (CONTRACT_LONG, [i for i in rest if len(words[i]) > 64])):
             some: list[int] = []
             size = 0
@@ -139,13 +147,14 @@ class Coder:
                 token = self.byte[np.frombuffer(b"".join(words[x] for x in some), np.uint8)]
                 columns = {"place": word << 10 | pos} if query is CONTRACT else {"word": word, "pos": pos}
                 self.db.register("symbols", pa.table(columns | {"token": token}))
-                for w, ids in self.db.execute(query).fetchall():
-                    out[w] = ids
+                self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + query)
+                for w, n, ids, back in self.db.execute(AGGREGATE).fetchall():
+                    out[w] = (n, ids.encode(), back)
                 some, size = [], 0
         return out
 
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
-        self.db.register("encoded", pa.table({"word": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
+        self.db.register("given_ids", pa.table({"word": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
         got = dict(self.db.execute(DECODE).fetchall())
         return [got.get(i, b"") for i in range(len(ids))]
 
@@ -155,9 +164,7 @@ class Coder:
             self.words.clear()
         words = list({w for s in split for w in s} - self.words.keys())
         if words:
-            ids = self.encode_words([w.encode() for w in words])
-            back = self.decode_words(ids)
-            self.words.update((w, (len(i), ",".join(map(str, i)).encode(), b)) for w, i, b in zip(words, ids, back, strict=True))
+            self.words.update(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
         out = []
         for s in split:
             got = [self.words[w] for w in s]
@@ -175,13 +182,11 @@ class Coder:
                 yield sum(counts), b",".join(ids), b"".join(back)
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    kept = kept_by("byte_bpe")
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Coder(path, pattern)
+    return kept[path, pattern]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -15,6 +18,23 @@ from pyspark.sql import functions as F
 
 from ledgerspark.shipping import ship
 
+#: What operators keep in a Python worker between tasks, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def kept_by(name: str) -> dict:
+    """The memory of one operator in this worker; that of the others is freed, workers serve many stages."""
+    if KEPT.keys() - {name}:
+        for other in KEPT.keys() - {name}:
+            KEPT[other].clear()
+            del KEPT[other]
+        _powers.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return KEPT.setdefault(name, {})
+
+
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -143,6 +163,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
 
 def slices(batch: pa.RecordBatch, limit: int = 8 << 20):
     """(first row, end row, offsets from 0, bytes) of a batch's text, about limit bytes each; a longer text comes alone."""
+    kept_by("texts")
     column = batch.column(batch.schema.get_field_index("text"))
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
@@ -173,3 +194,17 @@ def runs(sorted_keys: list[np.ndarray]) -> np.ndarray:
     for k in sorted_keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
+
+
+BIT_WORDS = 1 << 18
+
+
+def with_bits(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df's rows whose long column `key` may be among keys' only column, and all that are: a broadcast bitmap, at most
+    BIT_WORDS rows of 64 bits, that keeps the others out of a shuffle."""
+    hashed = lambda c: f"xxhash64({c})"
+    word = lambda c: f"shiftrightunsigned({hashed(c)}, 6) & {BIT_WORDS - 1}"
+    (name,) = keys.columns
+    bits = keys.groupBy(F.expr(word(name)).alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({hashed(name)} & 63 as int)))").alias("__bits"))
+    joined = df.join(F.broadcast(bits), F.expr(word(key)) == F.col("__word"))
+    return joined.where(f"bit_get(__bits, cast({hashed(key)} & 63 as int)) = 1").drop("__word", "__bits")

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import kept_by
 from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
-PER_LANGUAGE, N_GRAM, MOST = 1000, 4, 300_000
+PER_LANGUAGE, N_GRAM, MOST = 1000, 4, 150_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -152,15 +153,13 @@ class Predictor:
         return out
 
 
-_predictors: dict[str, Predictor] = {}
-
-
 def predictor(model: Model) -> Predictor:
     """One for each model and worker."""
-    if model.name not in _predictors:
-        _predictors.clear()
-        _predictors[model.name] = Predictor(model)
-    return _predictors[model.name]
+    kept = kept_by("language_id")
+    if model.name not in kept:
+        kept.clear()
+        kept[model.name] = Predictor(model)
+    return kept[model.name]
 
 
 def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import column, mix, partitions, rolling, runs, slices, stored, with_key, word_bounds, word_hashes
+from ledgerspark.llm.common import column, mix, partitions, rolling, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
 from ledgerspark.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75
@@ -164,6 +164,8 @@ def links_in_block(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[i
 def links(sets: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """a, b: enough verified links that components are exactly those of all links. sets: node, n, sketch."""
     lists = stored(listed(sets))
+    in_lists = stored(lists.select("node").distinct())
+    texts = stored(with_bits(texts, "node", in_lists).join(in_lists, "node", "left_semi"))
     hubs = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
     starred = lists.join(hubs, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = stored(verified(starred, sets, texts, words))
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
     # a class's own row: the one with its smallest id
     sets = stored(known.join(classes, ["digest"]).where("doc_id = node").select("node", "n", "sketch").dropDuplicates(["node", "sketch"]))
-    texts = with_key(docs).select(F.col("doc_id").alias("node"), "text").join(classes.select("node"), "node", "left_semi")
+    texts = with_key(docs).where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     parts = connected_components(links(sets, texts, words))
     named = classes.join(parts, "node", "left").select(F.col("digest"), F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")

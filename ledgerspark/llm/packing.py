@@ -12,6 +12,7 @@ Nulls: a null text is empty and still ends in the separator; null and repeated i
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -20,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import partitions, stored
+from ledgerspark.llm.common import kept_by, partitions, stored
 from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
-NAME, ROOM, SEPARATOR, MOST = "word_bpe_49k.json", 2048, 0, 400_000
+NAME, ROOM, SEPARATOR, MOST = "word_bpe_49k.json", 2048, 0, 200_000
 
 
 class Ids:
@@ -55,16 +56,12 @@ class Ids:
                 yield b"".join(map(self.known.__getitem__, words))
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
-    import os
-
+    kept = kept_by("packing")
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+    if path not in kept:
+        kept[path] = Ids(path)
+    return kept[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import runs
+from ledgerspark.llm.common import kept_by, runs
 from ledgerspark.llm.pieces import Memory, by_chars, parts
 from ledgerspark.shipping import ship
 
@@ -125,13 +125,11 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    kept = kept_by("token_counts")
+    if path not in kept:
+        kept[path] = Counter(path)
+    return kept[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
