@@ -22,16 +22,24 @@ from ledgerspark.shipping import ship
 KEPT: dict[str, dict] = {}
 
 
+def release(but: str | None = None) -> None:
+    """Frees what operators keep in this worker, and gives it back to the system."""
+    for other in KEPT.keys() - {but}:
+        KEPT[other].clear()
+        del KEPT[other]
+    _powers.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def kept_by(name: str) -> dict:
-    """The memory of one operator in this worker; that of the others is freed, workers serve many stages."""
+    """The memory of one operator in this worker; that of the others is freed, workers serve many stages. The memories
+    hold millions of small objects without cycles, which the cycle collector would walk through again and again."""
     if KEPT.keys() - {name}:
-        for other in KEPT.keys() - {name}:
-            KEPT[other].clear()
-            del KEPT[other]
-        _powers.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release(name)
+    if name not in KEPT:
+        gc.disable()
     return KEPT.setdefault(name, {})
 
 

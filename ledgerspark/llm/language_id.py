@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import kept_by
+from ledgerspark.llm.common import kept_by, release
 from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
-PER_LANGUAGE, N_GRAM, MOST = 1000, 4, 150_000
+PER_LANGUAGE, N_GRAM, MOST = 500, 4, 150_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -196,5 +196,6 @@ def identified(docs: DataFrame, least: float, per_language: int = PER_LANGUAGE)
             (got,) = run([text])
             keep = (got.column(3).to_numpy() >= least) & (np.array(got.column(2).to_pylist(), object) != "und")
             yield batch.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(kept, docs.schema)

@@ -13,6 +13,7 @@ Nulls: a null text is empty and still ends in the separator; null and repeated i
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -21,11 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import kept_by, partitions, stored
+from ledgerspark.llm.common import kept_by, partitions, release, stored
 from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
-NAME, ROOM, SEPARATOR, MOST = "word_bpe_49k.json", 2048, 0, 200_000
+NAME, ROOM, SEPARATOR, MOST = "word_bpe_49k.json", 2048, 0, 600_000
+#: Fixed value: how the tokenizer cuts lower-case text.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Short words whose lower case is the same everywhere and that are composed already; none can hold a special token.
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u017e]{1,100}").fullmatch
 
 
 class Ids:
@@ -33,12 +38,48 @@ class Ids:
     never joins across a blank or line end, so words are encoded once and remembered."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.find = regex.compile(PRE_TOKEN).findall
+        self.tokens: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
         self.long: list[str] = []
 
+    def learn(self, new: list[str]) -> None:
+        """Plain words fall into the tokenizer's own pre-tokens, of which there are fewer, and many go in one call: each
+        ends in the only token of its own that closes a word. Other words are encoded one by one."""
+        plain = [w for w in new if PLAIN(w)]
+        split = [self.find(w.lower()) for w in plain]
+        if len(self.tokens) > MOST:
+            self.tokens.clear()
+        fresh = list({p for s in split for p in s} - self.tokens.keys())
+        odd = [w for w in new if not PLAIN(w)]
+        for i in range(0, len(fresh), 20_000):
+            groups = [fresh[j : j + 500] for j in range(i, min(i + 20_000, len(fresh)), 500)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+                if len(ends) != len(group):
+                    ends = None
+                flat, last = ids.tobytes(), 0
+                for k, p in enumerate(group):
+                    if ends is None:
+                        self.tokens[p] = self.encode(p)
+                    else:
+                        self.tokens[p] = flat[last : ends[k]]
+                        last = ends[k]
+        get = self.tokens.__getitem__
+        self.known.update((w, get(s[0]) if len(s) == 1 else b"".join(map(get, s))) for w, s in zip(plain, split, strict=True))
+        self.known.update((w, self.encode(w)) for w in odd)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]):
         for some in by_chars(texts):
             split = [t.replace("\n", " ").split(" ") for t in some]
@@ -48,10 +89,7 @@ class Ids:
                 self.known = {"": b""}
             new = list(set().union(*split) - self.known.keys())
             self.long = [x for x in new if len(x) > 100]
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+            self.learn(new)
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
@@ -86,6 +124,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, with_ids: bool = False)
                 columns.append(pa.array([r[2] for r in rows], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
