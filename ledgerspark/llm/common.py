@@ -52,14 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate; for files their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate, for files their size; 64 MB where it has none, as for rows from the driver. It sets
+    numbers of partitions and the sketch's width, never a result."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else 64 << 20
 
 
 def partitions(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """So many that each holds about bytes_each of the input, and at least the session's shuffle partitions."""
     most = 1 << 17
-    want = math.ceil(min(input_bytes(df), 1 << 50) / bytes_each)
+    want = math.ceil(input_bytes(df) / bytes_each)
     return min(most, max(want, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
