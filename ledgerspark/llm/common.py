@@ -29,6 +29,7 @@ def release(but: str | None = None) -> None:
         del KEPT[other]
     _powers.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import column, mix, partitions, rolling, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
+from ledgerspark.llm.common import column, mix, partitions, release, rolling, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
 from ledgerspark.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75
@@ -72,6 +72,7 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 pick = np.arange(size.sum()) - np.repeat(top - size, size) + np.repeat(at[:-1], size)
                 sketch = pa.ListArray.from_arrays(pa.array(np.append(0, top), pa.int32()), pa.array(h[pick].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), sketch], ["doc_id", "n", "digest", "sketch"])
+        release()
 
     return with_key(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
@@ -116,6 +117,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) ->
                 if 100 * shared >= SIMILARITY * (len(last[1]) + len(sets_b[i]) - shared):
                     hits.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(b[hits])], ["a", "b"])
+        release()
 
     return seen.where("whole").select("a", "b").union(ready.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"))
 

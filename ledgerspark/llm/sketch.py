@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerspark.llm.common import mix, partitions, slices
+from ledgerspark.llm.common import mix, partitions, release, slices
 
 ROWS, MOST, SHARD = 2, 28, 20
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -73,6 +73,7 @@ def build(texts: DataFrame, keys_of, items: int) -> Sketch:
                         rows.append((row << 16 | int(s), as_bytes(at[cuts[s] : cuts[s + 1]] - np.uint32(int(s) << shard))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "counts"])
+        release()
 
     def add(batches):
         now, sums = None, None

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import sketch as cms
-from ledgerspark.llm.common import BASE2, column, input_bytes, mix, partitions, rolling, runs, slices, with_key, word_bounds, word_hashes
+from ledgerspark.llm.common import BASE2, column, input_bytes, mix, partitions, release, rolling, runs, slices, with_key, word_bounds, word_hashes
 
 WORDS = 50
 
@@ -145,6 +145,7 @@ def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 rows = [(b, 1, *blobs) for b, blobs in blob_rows(cuts, [h[here], check[here], doc[here], key[here], at[here].astype(np.uint32)])]
                 rows += marks_by_document(doc[~here], key[~here], at[~here], np.full(int((~here).sum()), words), buckets)
                 yield blob_batch(rows)
+        release()
 
     def settle(batches):
         for bucket, rows in grouped(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import sketch as cms
-from ledgerspark.llm.common import BASE, BASE2, BYTES, column, input_bytes, inverse, mix, partitions, powers, runs, slices, with_key
+from ledgerspark.llm.common import BASE, BASE2, BYTES, column, input_bytes, inverse, mix, partitions, powers, release, runs, slices, with_key
 from ledgerspark.llm.substring_dedup import SPANS, as_spans, grouped, joined, marks_by_document, with_spans
 
 WIDTH, GRAM, LEAD = 50, 24, 16
@@ -247,6 +247,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                     squeezed = pa.compress(data[pick].tobytes(), codec="zstd", asbytes=True)
                     out.append((int(x), int(size.sum()), squeezed, entry[a:z].tobytes(), doc[one[a:z]].tobytes(), key[one[a:z]].tobytes(), begin[each].astype(np.uint32).tobytes()))
                 yield batch_of(out)
+        release()
 
     def settle(batches):
         for _, rows in grouped(batches):
