@@ -3,9 +3,10 @@
 Vectors become integers, floor(scale * x). A last component lifts them to one sphere around the origin, so a larger inner
 product is a smaller Euclidean distance, a metric. Rows are dealt by a hash into shards of about SHARD vectors; each
 shard's task builds one M-tree: pages of up to PAGE entries, each entry with its distance to the page's centre, each
-page with its covering radius. Queries come to every shard, in blocks, and search it best first: pages wait in a
-queue by the least distance they allow; stored parent distances leave out entries by the triangle inequality before
-any product is computed; a page that can't reach the k-th best ends the search. Scores are exact integers. The shards'
+page with its covering radius. Queries come to every shard, in blocks, and a block searches it best first: pages wait in
+a queue by the least distance they allow to a query of the block; stored parent distances leave out queries and entries
+by the triangle inequality before any product is computed; a page is opened only for the queries whose k-th best it can
+still beat, all their products at once. Scores are exact integers. The shards'
 best lists merge.
 
 Nulls and the like: see vectors.clean; zero vectors take part. Rows that share a vec_id count as one candidate with
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored
-from ledgerspark.llm.vectors import best, clean, merged, unpack
+from ledgerspark.llm.common import runs, stored
+from ledgerspark.llm.vectors import clean, merged, unpack
 
-SCALE, SHARD, PAGE, ASKED = 64, 4096, 64, 256
+SCALE, SHARD, PAGE, ASKED = 64, 8192, 256, 1024
 SLACK = 1e-6  # of a distance, relative: what doubles may be off
 
 
@@ -66,44 +67,73 @@ class Tree:
         x = vectors.astype(np.float64)
         self.points = np.hstack([x, np.sqrt(np.maximum(0.0, most - (x * x).sum(1)))[:, None]])
         self.exact = x
+        self.distinct = len(np.unique(ids)) == len(ids)
         self.root = Page(self.points, np.arange(len(ids)))
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, in no order."""
-        q = np.append(query.astype(np.float64), 0.0)
-        square = float(q @ q) + self.most
-        distance = lambda p: float(np.sqrt(max(0.0, ((q - p) ** 2).sum())))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        limit = np.inf  # a distance beyond which nothing can be among the k best
-        d = distance(self.root.centre)
-        queue = [(max(0.0, d - self.root.radius), 0, d, self.root)]
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the queries, ids and scores of the k best of each. The queries go through the tree together: the
+        queue holds pages by the least distance they allow to any query, and a page is opened for those queries only
+        whose own bound lets it in."""
+        q = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
+        square = (q * q).sum(1) + self.most
+        limit = np.full(len(q), np.inf)  # distances beyond which nothing can be among the k best
+        floor = np.full(len(q), -np.inf)  # the k-th best scores
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def distance(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.sqrt(((q[at] - p) ** 2).sum(1))
+
+        every = np.arange(len(q))
+        d = distance(self.root.centre, every)
+        queue = [(float((d - self.root.radius).min()), 0, every, d, self.root)] if len(q) else []
         n = 0
         while queue:
-            least, _, d, page = heapq.heappop(queue)
-            if least > limit:
-                break
+            _, _, at, d, page = heapq.heappop(queue)
+            open_ = d - page.radius <= limit[at]
+            at, d = at[open_], d[open_]
+            if not len(at):
+                continue
             if page.children:
                 for c, far in zip(page.children, page.far, strict=True):
-                    if abs(d - far) - c.radius > limit:
-                        continue
-                    dc = distance(c.centre)
-                    if dc - c.radius <= limit:
+                    some = np.flatnonzero(np.abs(d - far) - c.radius <= limit[at])
+                    dc = distance(c.centre, at[some])
+                    near = dc - c.radius <= limit[at[some]]
+                    if near.any():
                         n += 1
-                        heapq.heappush(queue, (max(0.0, dc - c.radius), n, dc, c))
+                        heapq.heappush(queue, (float((dc - c.radius)[near].min()), n, at[some][near], dc[near], c))
                 continue
-            rows = page.rows[np.abs(d - page.far) <= limit]
+            reach = limit[at].max()
+            rows = page.rows[(page.far >= d.min() - reach) & (page.far <= d.max() + reach)]
             if not len(rows):
                 continue
-            got = np.rint(self.exact[rows] @ q[:-1]).astype(np.int64)  # sums of integers far below 2 ** 53
-            ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, got])
-            other = ids != own
-            ids, scores = ids[other], scores[other]
-            if len(ids) >= k:
-                at = best(scores, ids, k)
-                ids, scores = ids[at], scores[at]
-                if len(ids) == k:
-                    limit = np.sqrt(max(0.0, square - 2.0 * float(scores.min()))) * (1 + SLACK) + SLACK
-        return ids, scores
+            got = np.rint(q[at, :-1] @ self.exact[rows].T)  # sums of integers far below 2 ** 53
+            ids = self.ids[rows]
+            got[own[at][:, None] == ids[None, :]] = -np.inf
+            least = floor[at]
+            if self.distinct and len(rows) > k:
+                least = np.maximum(least, np.partition(got, len(rows) - k, 1)[:, len(rows) - k])
+            i, j = np.nonzero((got >= least[:, None]) & (got > -np.inf))
+            if not len(i):
+                continue
+            new = (at[i], ids[j], got[i, j].astype(np.int64))
+            top = leading(*(np.concatenate(x) for x in zip(top, new, strict=True)), k)
+            first = np.searchsorted(top[0], every)
+            full = np.searchsorted(top[0], every, "right") - first == k
+            floor[full] = top[2][first[full] + k - 1]
+            limit[full] = np.sqrt(np.maximum(0.0, square[full] - 2.0 * floor[full])) * (1 + SLACK) + SLACK
+        return top
+
+
+def leading(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each query, by query, best first, ties to smaller ids, each id once."""
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    once = runs([query, ids])
+    query, ids, scores = query[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], scores[keep]
 
 
 def top_k(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, scale: int = SCALE) -> DataFrame:
@@ -153,8 +183,10 @@ def top_k(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, scal
                     tree = Tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), most)
                 if tree is None:
                     continue
-                got = [(int(q), *tree.search(q, v, k)) for q, v in zip(ids, x, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[i].astype("<i8").tobytes() for g in got], pa.binary()) for i in (1, 2))], ["query_id", "ids", "scores"])
+                place, found, scores = tree.search(ids, x, k)
+                cuts = np.searchsorted(place, np.arange(len(ids) + 1))
+                spans = list(zip(cuts, cuts[1:], strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array([v[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()) for v in (found, scores))], ["query_id", "ids", "scores"])
 
     dealt = held.union(asked).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "kind")
     return merged(dealt.mapInArrow(search, "query_id long, ids binary, scores binary"), k, "long")
