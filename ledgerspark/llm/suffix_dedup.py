@@ -196,6 +196,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = with_key(docs).where("doc_id is not null")
     buckets = 4 * partitions(docs)
+    # marks are a hundredth of the strings; every bucket of strings sends a row to each bucket of marks
+    marked = partitions(docs, 32 << 20)
     cuts = splitters(docs, texts, buckets)
     found = cms.build(texts.select("text"), anchor_keys, input_bytes(docs) // 6)
     seen = spark.sparkContext.broadcast((found, cuts))
@@ -225,7 +227,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 new = runs([h, g])
                 here = doc == np.repeat(doc[new], np.diff(np.append(new, len(h))))
                 begin = first - offsets[text]
-                out = [(*r[:2], *r[2:]) for r in marks_by_document(doc[~here], key[~here], begin[~here], (end - first)[~here], buckets)]
+                out = [(*r[:2], *r[2:]) for r in marks_by_document(doc[~here], key[~here], begin[~here], (end - first)[~here], marked)]
                 first, end, at, h, g, doc, key, begin = (x[here] for x in (first, end, at, h, g, doc, key, begin))
                 new = runs([h, g, doc, key])
                 times = np.diff(np.append(new, len(h)))
@@ -255,13 +257,13 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             out = [tuple(r[k] for k in ("bucket", "kind", *"abcde")) for r in rows if not r["kind"]]
             if own:
                 flat = np.concatenate([np.frombuffer(pa.decompress(r["a"], r["kind"], codec="zstd", asbytes=True), np.uint8) for r in own])
-                out += marks_by_document(*settle_bucket(flat, joined(own, "b", ENTRY), joined(own, "c", np.int64), joined(own, "d", np.int64), joined(own, "e", np.uint32).astype(np.int64)), buckets)
+                out += marks_by_document(*settle_bucket(flat, joined(own, "b", ENTRY), joined(own, "c", np.int64), joined(own, "d", np.int64), joined(own, "e", np.uint32).astype(np.int64)), marked)
             if out:
                 yield batch_of(out)
 
-    dealt = lambda df: df.repartition(buckets // 2, "bucket").sortWithinPartitions("bucket")
-    settled = dealt(texts.mapInArrow(emit, ROWS)).mapInArrow(settle, ROWS)
-    return dealt(settled).mapInArrow(as_spans, SPANS)
+    dealt = lambda df, n: df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    settled = dealt(texts.mapInArrow(emit, ROWS), buckets // 2).mapInArrow(settle, ROWS)
+    return dealt(settled, marked).mapInArrow(as_spans, SPANS)
 
 
 def kept_bytes(text: bytes, spans: bytes | None) -> tuple[int, bytes]:
