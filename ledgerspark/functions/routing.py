@@ -28,3 +28,26 @@ def periods(text: Column) -> Column:
 
 
 SQL = "SELECT conv_id, turn, CASE " + " ".join(rf"WHEN regexp_matches(lower(coalesce(text, '')), '\b({'|'.join(w)})\b') THEN '{n}'" for n, w in TRACKS) + " ELSE 'general' END AS track FROM {t}"
+
+#: What asks for a tool. The specific ones come before searches, whose words are common.
+TOOLS = [
+    ("benford_test", "(benford|fraud|anomaly|first digit|suspicious)"),
+    ("cohort_analysis", "(cohort|retention|customer lifetime|churn)"),
+    ("three_way_match", "(reconcil|3-way|three-way|match|invoice.*po|po.*invoice)"),
+    ("search_tax_rate", "(tax rate|gst rate|tds rate|income tax)"),
+    ("search_regulation", "(regulation|compliance|rule|law|requirement)"),
+    ("search_benchmark", "(benchmark|industry average|market rate|standard)"),
+    ("web_search", "(search|find|look up|what is|current|latest)"),
+]
+
+
+def tool(text: Column) -> Column:
+    """The tool that a question asks for; null for none."""
+    low = F.lower(text)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in TOOLS:
+        out = out.when(low.rlike(pattern), name)
+    return out
+
+
+TOOL_SQL = "SELECT conv_id, turn, CASE " + " ".join("WHEN regexp_matches(lower(text), '" + p.replace(".*", "[^\\n]*") + f"') THEN '{n}'" for n, p in TOOLS) + " END AS tool FROM {t}"

@@ -86,3 +86,38 @@ def packed_to_budget(items: DataFrame, budget: int) -> DataFrame:
     state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     take = lambda s, x: F.when(s["used"] + x["size"] <= budget, F.struct((s["used"] + x["size"]).alias("used"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s)
     return items.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "size"))).alias("x")).select("group", F.aggregate("x", state, take).alias("s")).select("group", F.col("s.ids").alias("ids"), F.col("s.used").alias("used"))
+
+
+def content_type(text: Column) -> Column:
+    """`table` if the first ten lines show more than three signs of columns, else `prose`."""
+    lines = F.slice(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), "\n"), 1, 10)
+    columns = F.size(F.filter(lines, lambda x: x.rlike(r"[\t|]")))
+    numbers = F.size(F.filter(lines, lambda x: x.rlike(r"[0-9]+\s+[0-9]+\s+[0-9]+")))
+    return F.when(columns + numbers > 3, "table").otherwise("prose")
+
+
+#: Words of a question that don't count.
+STOP = ["what", "is", "the", "for", "in", "a", "an", "and", "or", "of", "to", "with", "how", "why"]
+
+
+def relevant(docs: DataFrame, query: str, least: float = 0.2, k: int = 3) -> DataFrame:
+    """doc_id, score: the k documents that hold the largest share of the question's words, without texts in other
+    scripts. Words of under three characters count as not found; a question without words scores 0.5 everywhere."""
+    asked = sorted(set(query.lower().split()) - set(STOP))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hits = sum((low.contains(w).cast("int") for w in asked if len(w) >= 3), F.lit(0))
+    score = hits / len(asked) if asked else F.lit(0.5)
+    return docs.where(~non_english(F.col("text"))).select("doc_id", F.round(score, 8).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def minhash(docs: DataFrame, id_col: str, perms: int = 128) -> DataFrame:
+    """id, signature: for each seed the least 32-bit value, little-endian, of SHA-256 over seed and 3-character shingle;
+    zeros for an empty text. Shingles are rows, so a long text isn't one task's array of hashes."""
+    shingle = docs.select(id_col, F.explode_outer(shingles(F.coalesce("text", F.lit("")))).alias("s"))
+
+    def value(seed: int) -> Column:
+        h = F.sha2(F.concat(F.unhex(F.lit(seed.to_bytes(4, "little").hex())), F.encode("s", "UTF-8")), 256)
+        return F.conv(F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("long")
+
+    least = shingle.groupBy(id_col).agg(*(F.min(value(i)).alias(f"m{i}") for i in range(perms)))
+    return least.select(id_col, F.array(*(F.coalesce(f"m{i}", F.lit(0).cast("long")) for i in range(perms))).alias("signature"))

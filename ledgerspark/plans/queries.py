@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import cleaning
+from ledgerspark.functions import cleaning, nested
 from ledgerspark.functions import routing
-from ledgerspark.operators import audit, profile, statement, text
+from ledgerspark.operators import audit, logs, profile, statement, text
 from ledgerspark.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,7 +281,10 @@ def meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where((F.col("lang") == "fr") & (F.col("source") == "src1")).select("doc_id", "lang")
 
 
-@query()
+NOT_LATIN = r"coalesce(length(regexp_replace(text, '[^\p{L}]|\p{Latin}', '', 'g')) > 0.1 * length(regexp_replace(text, '[^\p{L}]', '', 'g')), false)"
+
+
+@query(f"SELECT doc_id, {NOT_LATIN} AS non_english FROM documents")
 def non_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.non_english(F.col("text")).alias("non_english"))
 
@@ -323,3 +326,65 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(table(spark, sf_dir, "events")).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# more of joins, cohorts, statements, cleaning, texts, logs
+passed("join_range", "SELECT lo, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN (VALUES (0, 50000), (50000, 100000), (100000, 200000), (200000, 400000)) b(lo, hi) ON o_totalprice >= lo AND o_totalprice < hi GROUP BY lo")
+passed("catalog_anti", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 45)")
+PRIOR = "SELECT event_id, {last} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value FROM {{events}}"
+passed("join_asof_prior", PRIOR.format(last="last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS").replace("{{", "{").replace("}}", "}"), PRIOR.format(last="last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)").replace("{{", "{").replace("}}", "}"))
+passed("cohort_first", "SELECT o_custkey, CAST(min(date_trunc('month', o_orderdate)) AS DATE) AS cohort FROM {orders} GROUP BY o_custkey")
+
+
+@query(f'SELECT "offset", round(avg(retention), 2) AS retention FROM ({ORACLE_SQL["cohort_retention"]}) WHERE retention > 0 GROUP BY "offset"')
+def cohort_avg_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.retention(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
+    return found.where("retention > 0").groupBy("offset").agg(F.round(F.avg("retention"), 2).alias("retention"))
+
+
+LABELS = {"1": "Revenue", "2": "Gross Profit", "3": "EBITDA", "4": "Net Profit", "5": "Interest Expense"}
+
+
+@query("WITH s AS (SELECT CAST(year(o_orderdate) AS INT) AS period, " + ", ".join(f"round(sum(o_totalprice) FILTER (substr(o_orderpriority, 1, 1) = '{k}'), 2) AS v{k}" for k in LABELS) + " FROM orders GROUP BY 1) SELECT period, round_even(v2 / v1 * 100, 2) AS gross_margin, round_even(v3 / v1 * 100, 2) AS ebitda_margin, round_even(v4 / v1 * 100, 2) AS net_margin, round_even(v3 / v5, 2) AS interest_coverage FROM s")
+def stmt_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return statement.ratios(_statement(spark, sf_dir).withColumn("label", named[F.substring("label", 1, 1)]))
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS order_id, round(o_totalprice, 2) AS total_price, o_orderstatus AS status FROM orders")
+def type_infer_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("Order Id"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Total Price"), F.col("o_orderstatus").alias("Status"))
+    return cleaning.cleaned(raw)
+
+
+@query("SELECT n_regionkey AS id, array_to_string(list_transform(list_sort(list(n_nationkey))[1:10], lambda x: CAST(x AS VARCHAR)), ', ') AS keys, '[' || count(*) || ' records]' AS nations, min(n_name) AS info_first, max(n_name) AS info_last FROM nation GROUP BY 1")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("keys"), F.collect_list(F.struct("n_name")).alias("nations"), F.struct(F.min("n_name").alias("first"), F.max("n_name").alias("last")).alias("info"))
+    return nested.flattened(rows)
+
+
+@query("SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: regexp_matches(x, '[\\t|]'))) + len(list_filter(l, lambda x: regexp_matches(x, '[0-9]+\\s+[0-9]+\\s+[0-9]+'))) > 3 THEN 'table' ELSE 'prose' END AS content_type FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), chr(10))[1:10] AS l FROM documents)")
+def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_type(F.col("text")).alias("content_type"))
+
+
+@query(f"SELECT doc_id, round((contains(lower(text), 'that')::INT + contains(lower(text), 'than')::INT + contains(lower(text), 'market')::INT) / 3, 8) AS score FROM documents WHERE NOT {NOT_LATIN} AND score >= 0.2 ORDER BY score DESC, doc_id LIMIT 10")
+def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.relevant(table(spark, sf_dir, "documents"), "what is that market than", k=10)
+
+
+@query("WITH s AS (SELECT DISTINCT item_id, substr(text, i, 3) AS s FROM benchmark, range(1, 100000) r(i) WHERE i <= greatest(length(text) - 2, 1) AND text <> ''), h AS (SELECT item_id, seed, sha256(unhex(printf('%02x000000', seed)) || encode(s)) AS h FROM s, range(16) q(seed)), m AS (SELECT item_id, seed, min(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT)) AS v FROM h GROUP BY 1, 2) SELECT item_id, list(v ORDER BY seed) AS signature FROM m GROUP BY 1")
+def minhash_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.minhash(table(spark, sf_dir, "benchmark").where("text <> ''"), "item_id", 16)
+
+
+@query(routing.TOOL_SQL.format(t="conversations"))
+def tool_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.tool(F.col("text")).alias("tool"))
+
+
+@query("SELECT event_id, CASE WHEN (event_type <> '' AND event_type <> 'view' AND props <> '' AND event_type <> 'error') OR event_type = 'signup' THEN 'high_value' WHEN value > 50 THEN 'medium_value' ELSE 'low_value' END AS tier FROM events")
+def log_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    log = table(spark, sf_dir, "events").select("event_id", kind.alias("query_text"), F.when(kind != "view", F.col("value")).alias("result"), F.col("props").alias("provenance"), F.when(kind == "error", "error").otherwise("success").alias("status"), F.when(kind == "signup", "sql").alias("method"), F.when(F.col("value") > 50, F.col("value")).alias("latency_ms"))
+    return logs.tier(log).select("event_id", "tier")
