@@ -26,6 +26,7 @@ from ledgerspark.llm.pieces import by_chars
 from ledgerspark.shipping import ship
 
 PER_LANGUAGE, N_GRAM, MOST = 500, 4, 150_000
+SHARES = (256, 16, 1)
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -42,7 +43,10 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str
     """(lang, order, gram, count), order 0 for words, of the sample."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = usable.select(F.col("doc_id").alias("id"), F.col("lang").alias("lg"), F.xxhash64("doc_id").alias("h")).distinct()
-    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lg").orderBy("h", "id"))).where(F.col("n") <= per_language)
+    chosen = ids
+    for parts in SHARES:  # a language may hold most rows: first its shares by hash, the smallest of which go on
+        rank = F.row_number().over(Window.partitionBy("lg", F.pmod("h", F.lit(parts))).orderBy("h", "id"))
+        chosen = chosen.withColumn("n", rank).where(F.col("n") <= per_language).drop("n")
     sample = usable.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("lg")), "left_semi").select("lang", "text")
 
     def count(batches):
