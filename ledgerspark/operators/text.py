@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25  # fixed values of Okapi BM25
+CROWD = 1000  # documents of one fingerprint; classes beyond are at most a thousandth of the rows and are broadcast
 
 
 def words(text: Column) -> Column:
@@ -35,13 +36,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def close_fingerprints(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """a, b, distance: pairs that differ in at most `bits` (up to 3) of 64. Such pairs agree in one of four bands;
-    equal fingerprints count once, by their smallest id."""
-    one = prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
-    banded = one.select("doc_id", "simhash", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "part"))
+    """a, b, distance: pairs that differ in at most `bits` (up to 3) of 64. Such pairs agree in one of four bands.
+    Documents of one fingerprint are each paired with the smallest id among them, at distance 0; pairs of different
+    fingerprints name those smallest ids, so every linked pair of documents follows from the rows."""
+    classes = prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    shared = classes.where("n > 1").select("simhash", F.col("doc_id").alias("a"), "n")
+    crowds = F.broadcast(shared.where(F.col("n") > CROWD).drop("n"))
+    known = prints.select("simhash", F.col("doc_id").alias("b")).join(crowds, "simhash", "left")
+    few = known.where("a is null").drop("a").join(shared.where(F.col("n") <= CROWD).drop("n"), "simhash")
+    equal = known.where("a is not null").unionByName(few).where("b <> a").select("a", "b", F.lit(0).alias("distance"))
+    banded = classes.select("doc_id", "simhash", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "part"))
     a, b = (banded.select(F.col("doc_id").alias(x), F.col("simhash").alias(f"s{x}"), "band", "part") for x in "ab")
     distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    return a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (distance <= bits)).select("a", "b", distance.alias("distance")).distinct()
+    near = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (distance <= bits)).select("a", "b", distance.alias("distance")).distinct()
+    return equal.unionByName(near)
 
 
 def _equals(term: str):
