@@ -63,6 +63,17 @@ passed("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1
 passed("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 passed("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 passed("join_asof", "SELECT event_id, max(p.p_partkey) AS part FROM {events} JOIN {part} p ON p.p_partkey <= CAST(floor(value) AS BIGINT) AND p.p_partkey > CAST(floor(value) AS BIGINT) - 50 GROUP BY event_id")
+#: Each event with the largest part key at or below its value, however far; null if there is none. Distinct keys go through
+#: windows of a range of keys each, so that no window holds a whole table.
+NEAREST = """
+WITH u AS (SELECT DISTINCT CAST(floor(value) AS BIGINT) AS k, CAST(NULL AS BIGINT) AS part FROM {events} UNION ALL SELECT DISTINCT p_partkey, p_partkey FROM {part}),
+b AS (SELECT k, part, CAST(floor(k / 10000) AS BIGINT) AS bucket FROM u WHERE k IS NOT NULL),
+h AS (SELECT k, bucket, max(part) OVER (PARTITION BY bucket ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS here FROM b),
+c AS (SELECT bucket, max(part) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT bucket, max(part) AS part FROM b GROUP BY bucket)),
+m AS (SELECT k, max(coalesce(here, before)) AS part FROM h JOIN c USING (bucket) GROUP BY k)
+SELECT event_id, m.part AS part FROM {events} LEFT JOIN m ON CAST(floor(value) AS BIGINT) = k
+"""
+passed("join_asof_nearest", NEAREST, "SELECT event_id, p_partkey AS part FROM {events} ASOF LEFT JOIN {part} ON CAST(floor(value) AS BIGINT) >= p_partkey")
 passed("catalog_semi", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')")
 
 # aggregations

@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 
 from ledgerspark.operators import text
+from ledgerspark.plans import queries as core
 
 
 @pytest.mark.parametrize("crowd", [1, 1000])
@@ -23,3 +24,10 @@ def test_close_fingerprints_links_all(spark, monkeypatch, crowd):
         near = {(r.a, r.b): r.distance for r in rows if r.distance > 0}
         got = {(a, b): 0 if head[a] == head[b] else near.get(tuple(sorted((head[a], head[b])))) for a, b in combinations(sorted(of), 2)}
         assert {k: v for k, v in got.items() if v is not None} == want
+
+
+def test_join_asof_nearest_keeps_far_and_unmatched(spark, tmp_path):
+    spark.createDataFrame([(1, 5.5), (2, 10.0), (3, 300.9), (4, 25_000.2), (5, None), (6, 10.9), (7, -3.0)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(10,), (12,), (20_001,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.event_id: r.part for r in core.QUERIES["join_asof_nearest"](spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: 10, 3: 12, 4: 20_001, 5: None, 6: 10, 7: None}
