@@ -33,7 +33,7 @@ def by_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_passage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 50-word windows that a smaller document has too go; so do documents of which nothing is left."""
-    return substring_dedup.without_repeats(docs)
+    return substring_dedup.without_repeats(docs).where("text <> ''")
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,6 +210,7 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return pd.Series([t if s is None else " ".join(cut([t], [s])) for t, s in zip(texts, found, strict=True)], dtype=object)
 
     rows = with_spans(docs, repeated_words(docs, words))
+    shortened = shortened.asNondeterministic()  # else a filter on the text has it run twice
     return rows.withColumn("text", shortened("text", "__spans")).drop("__spans")
 
 
