@@ -234,7 +234,7 @@ def clean_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part WHERE NOT regexp_matches(p_name, '^[^a-zA-Z]*[0-9]')")
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(~F.col("p_name").rlike("^[^a-zA-Z]*[0-9]")).select("p_partkey", cleaning.safe_name(F.col("p_name")).alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", cleaning.safe_name(F.col("p_name")).alias("name"))
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS tenant FROM customer")

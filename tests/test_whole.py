@@ -31,3 +31,9 @@ def test_join_asof_nearest_keeps_far_and_unmatched(spark, tmp_path):
     spark.createDataFrame([(10,), (12,), (20_001,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.event_id: r.part for r in core.QUERIES["join_asof_nearest"](spark, str(tmp_path)).collect()}
     assert got == {1: None, 2: 10, 3: 12, 4: 20_001, 5: None, 6: 10, 7: None}
+
+
+def test_name_normalize_keeps_names_with_a_leading_digit(spark, tmp_path):
+    spark.createDataFrame([(1, "Net Sales"), (2, "2023 Net"), (3, "#7 bolt")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.name for r in core.QUERIES["name_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {1: "net_sales", 2: "col_2023_net", 3: "col_7_bolt"}
