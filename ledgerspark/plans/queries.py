@@ -253,6 +253,12 @@ def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.size(text.shingles(F.col("text"))).cast("long").alias("n"))
 
 
+@query()
+def shingles_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts for all documents, 0 for an empty text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.shingles(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+
+
 @query()
 def text_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fingerprints(table(spark, sf_dir, "documents"))
@@ -389,6 +395,12 @@ def minhash_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.minhash(table(spark, sf_dir, "benchmark").where("text <> ''"), "item_id", 16)
 
 
+@query()
+def minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 128 permutations, empty texts too."""
+    return text.minhash(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query(routing.TOOL_SQL.format(t="conversations"))
 def tool_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.tool(F.col("text")).alias("tool"))

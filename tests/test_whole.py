@@ -1,5 +1,6 @@
 """What SQL doesn't compare: small tables whose whole result is known."""
 
+import hashlib
 from itertools import combinations
 
 import pytest
@@ -37,3 +38,18 @@ def test_name_normalize_keeps_names_with_a_leading_digit(spark, tmp_path):
     spark.createDataFrame([(1, "Net Sales"), (2, "2023 Net"), (3, "#7 bolt")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: r.name for r in core.QUERIES["name_normalize"](spark, str(tmp_path)).collect()}
     assert got == {1: "net_sales", 2: "col_2023_net", 3: "col_7_bolt"}
+
+
+def test_minhash_documents_has_128_values_and_empty_texts(spark, tmp_path):
+    texts = ["", None, "ab", "abcd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    value = lambda i, s: int.from_bytes(hashlib.sha256(i.to_bytes(4, "little") + s.encode()).digest()[:4], "little")
+    grams = {0: [], 1: [], 2: ["ab"], 3: ["abc", "bcd"]}
+    got = {r.doc_id: list(r.signature) for r in core.QUERIES["minhash_documents"](spark, str(tmp_path)).collect()}
+    assert got == {d: [min((value(i, s) for s in g), default=0) for i in range(128)] for d, g in grams.items()}
+
+
+def test_shingles_documents_has_empty_texts(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(["", None, "ab", "abcabc"])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n for r in core.QUERIES["shingles_documents"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 3}
