@@ -7,8 +7,10 @@ import ctypes
 import gc
 import math
 import os
+import re
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +69,12 @@ def partitions(df: DataFrame, bytes_each: int = 8 << 20) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or, where that is unset (tests), a local one."""
+    """A new folder that all executors see: under spark.checkpoint.dir. Only where that is unset and everything runs in
+    one process on one machine (tests), it's a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerspark-checkpoints")
     return f"{base.rstrip('/')}/ledgerspark-{uuid.uuid4().hex}"
 
@@ -127,16 +132,6 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def rolling(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
-    """Polynomial hashes of all runs of width values."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n)[:n], out=sums[1:])
-    return (sums[width:] - sums[: n - width + 1]) * powers(inverse(base), n)[: n - width + 1]
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of other bytes than ASCII white space, never across texts."""
     if not len(data):
@@ -156,25 +151,43 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(start), np.flatnonzero(tail) + 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """64 bits for each word, in blocks of bytes so that long texts need little memory."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block)))
-        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
-        v = BYTES[data[starts[i] : ends[j - 1]]]
-        sums = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(v * powers(BASE, len(v))[: len(v)], out=sums[1:])
-        h = (sums[e] - sums[s]) * powers(inverse(BASE), len(v))[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(BASE2))
-        i = j
-    return out
+def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The words, told apart byte by byte: codes and the distinct ones."""
+    flat = data[~ASCII_SPACE[data]]
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2 for each word, as two columns of 64."""
+    coded = words_of(data, starts, ends)
+    kinds = b"".join(blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    both = np.frombuffer(kinds, "<u8").reshape(-1, 2)
+    codes = coded.indices.to_numpy()
+    return both[codes, 0], both[codes, 1]
+
 
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes, in order; not linear, so that no pattern of words cancels out."""
+    return mix(a * np.uint64(BASE) + mix(b ^ np.uint64(BASE2)))
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20):
+
+def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width values, by doubling: a run is hashed from two shorter ones that cover it."""
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = joint(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def slices(batch: pa.RecordBatch, limit: int = 8 << 20, mine: str = "texts"):
     """(first row, end row, offsets from 0, bytes) of a batch's text, about limit bytes each; a longer text comes alone."""
-    kept_by("texts")
+    kept_by(mine)
     column = batch.column(batch.schema.get_field_index("text"))
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
@@ -207,15 +220,51 @@ def runs(sorted_keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has: those given, with underscores before them as far as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def tables(batches, keys: int):
+    """Rows that are sorted by their first columns: (keys, table) for each run of equal ones."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cuts = runs(columns)
+        for a, b in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 BIT_WORDS = 1 << 18
 
 
-def with_bits(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def with_bits(df: DataFrame, key: str, keys: DataFrame, flag: str | None = None) -> DataFrame:
     """df's rows whose long column `key` may be among keys' only column, and all that are: a broadcast bitmap, at most
-    BIT_WORDS rows of 64 bits, that keeps the others out of a shuffle."""
-    hashed = lambda c: f"xxhash64({c})"
-    word = lambda c: f"shiftrightunsigned({hashed(c)}, 6) & {BIT_WORDS - 1}"
+    BIT_WORDS rows of 64 bits, that keeps the others out of a shuffle. With `flag`, all rows, told apart by that column."""
+    word = lambda c: f"shiftrightunsigned(xxhash64(`{c}`), 6) & {BIT_WORDS - 1}"
+    bit = lambda c: f"cast(xxhash64(`{c}`) & 63 as int)"
+    w, b = fresh(df, "word", "bits")
     (name,) = keys.columns
-    bits = keys.groupBy(F.expr(word(name)).alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({hashed(name)} & 63 as int)))").alias("__bits"))
-    joined = df.join(F.broadcast(bits), F.expr(word(key)) == F.col("__word"))
-    return joined.where(f"bit_get(__bits, cast({hashed(key)} & 63 as int)) = 1").drop("__word", "__bits")
+    bits = F.broadcast(keys.groupBy(F.expr(word(name)).alias(w)).agg(F.expr(f"bit_or(shiftleft(1L, {bit(name)}))").alias(b)))
+    joined = df.join(bits, F.expr(word(key)) == F.col(w), "left" if flag else "inner")
+    hit = F.expr(f"bit_get({b}, {bit(key)}) = 1")
+    if flag:
+        return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(w, b)
+    return joined.where(hit).drop(w, b)

@@ -1,17 +1,25 @@
 """MinHash near-dedup by bottom-k sketches of one hash function.
 
-A document's set holds the hashes of its 5-word shingles; its sketch is the K smallest. Documents with equal sets are
-one class, which its smallest id stands for. Inverted lists of retained values give candidates: two sets of Jaccard
-similarity 0.75 share at least NEED of K retained values (all but one pair in 10 ** 9; for sets of at most 48 the bound is
-exact), so they share one of their K - NEED + 1 rarest, and only those are listed. Boilerplate is common, not rare, and
-makes no lists. In a list each document pairs with the smallest one only, not with all others. The union's sketch
-estimates the similarity and leaves out what is far below; full sets verify the rest exactly. Lists whose documents
-then lie in several components are gone through again, pairs across components only: as pairs for lists of up to
-SMALL, and for longer lists in blocks, where exact verification runs over shared shingles inside a task and only links
-leave it. No link between different sets is lost, and no list is expanded into all pairs of rows.
+A document's set holds its 5-word shingles, as 64-bit hashes of BLAKE2 hashes of their words; its sketch is the K
+smallest. Documents with equal sets are one class, which its smallest id stands for. Inverted lists of retained values
+give candidates: two sets of Jaccard similarity 0.75 share NEED of K retained values or more, so they share one of
+their K - NEED + 1 rarest, and only those are listed. Boilerplate is common, not rare, and makes no lists. In a list
+each document pairs with the smallest one only, its hub. The union's sketch estimates the similarity and leaves out
+what is far below; full sets, of words told apart byte by byte, verify the rest exactly.
+
+Lists whose documents then lie in several components are gone through again, together for each hub: a pool. A pool's
+largest component is dealt into blocks, the documents apart from it into others, of BLOCK shingles each; blocks apart
+meet each other and those of the component. Sketches of a pair of blocks leave only documents that have a possible
+partner in another component; their texts follow and are verified exactly, over shared shingles, and only links leave
+the task. No list is expanded into pairs of rows.
+
+NEED and ESTIMATE lie six standard deviations below what two sets at the threshold share: by the binomial tail a link
+at the very threshold is missed with a probability under 10 ** -9; sets of up to FULL shingles, or K for the
+estimate, have exact bounds.
 
 Nulls: a null or blank text has an empty set and no links. A row whose id is null has no links and is kept. Rows that
-share an id count as one document. Ties don't occur: ids decide. Other columns of the input aren't read.
+share an id count as one document. Ties don't occur: ids decide. Texts may have any length and are taken whole. Other
+columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,32 +31,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import column, mix, partitions, release, rolling, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
+from ledgerspark.llm.common import column, dropped, fresh, partitions, release, run_hashes, runs, slices, stored, tables, with_bits, with_key, word_bounds, word_hashes, words_of
 from ledgerspark.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75
-K, NEED, FULL, SMALL, BLOCK = 64, 26, 48, 16, 1024
+K, NEED, FULL, BLOCK = 64, 26, 48, 1 << 17
 #: Estimates of pairs at the threshold stay above this but for 6 standard deviations of a sketch of 64.
 ESTIMATE = 0.75 - 6 * (0.75 * 0.25 / K) ** 0.5
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' sets, each ascending, in one array, and where each begins (one more entry than texts)."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' sets, each ascending, in one array, and where each begins (one more entry than texts). The members are
+    hashes; with exact, numbers that these texts' shingles have, equal if and only if all words are."""
     data = LOWER[data]
     starts, ends = word_bounds(data, offsets)
-    w = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, offsets)
     counts = np.diff(first)
-    h = mix(rolling(w, words))
-    at = np.arange(len(h))
-    valid = at + words <= np.repeat(first[1:], counts)[: len(h)]
-    text = np.repeat(np.arange(len(counts)), counts)[at][valid]
-    h = h[valid]
+    w = words_of(data, starts, ends).indices.to_numpy().astype(np.uint64) + np.uint64(1) if exact else word_hashes(data, starts, ends)[0]
+    h = numbered_runs(w, words) if exact else run_hashes(w, words)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(h)]
+    valid = np.arange(len(h)) + words <= first[text + 1]
+    h, text = h[valid], text[valid]
     short = np.flatnonzero((counts > 0) & (counts < words))
-    if len(short):
-        few = np.array([mix(rolling(w[first[i] : first[i + 1]], counts[i]) + np.uint64(counts[i] + 1))[0] for i in short], np.uint64)
+    if len(short):  # as many words as there are, and zeros
+        at = first[short][:, None] + np.arange(words)[None, :]
+        padded = np.where(at < first[short + 1][:, None], w[np.minimum(at, len(w) - 1)], np.uint64(0)).ravel()
+        few = _short_numbers(padded.reshape(-1, words), int(h.max()) + 1 if len(h) else 0) if exact else run_hashes(padded, words)[::words]
         h, text = np.concatenate([h, few]), np.concatenate([text, short])
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
@@ -57,6 +67,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return h, np.searchsorted(text, np.arange(len(counts) + 1))
 
 
+def numbered_runs(codes: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of width codes, equal for equal runs only."""
+    if len(codes) < width:
+        return np.zeros(0, np.uint64)
+    have, now = 1, codes
+    while have < width:
+        step = min(have, width - have)
+        now = np.unique(now[:-step] << np.uint64(32) | now[step:], return_inverse=True)[1].astype(np.uint64)
+        have += step
+    return now
+
+
+def _short_numbers(rows: np.ndarray, above: int) -> np.ndarray:
+    return (np.unique(rows, axis=0, return_inverse=True)[1].ravel() + above).astype(np.uint64)
+
+
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, digest of the set, sketch for each row."""
 
@@ -78,14 +104,25 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def listed(sets: DataFrame) -> DataFrame:
-    """value, node: the inverted lists, of each set's rarest retained values, that hold two nodes or more."""
+    """value, node, n: the inverted lists, of each set's rarest retained values, that hold two nodes or more."""
     values = sets.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
     need = F.when(F.col("n") <= FULL, F.ceil(F.col("n") * SIMILARITY / 100)).otherwise(F.lit(NEED)).cast("int")
     shared = values.join(often, "value").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))
     room = F.col("size") - need + 1 - (F.col("size") - F.size("shared"))  # values that no other set retains come first
-    lists = shared.where(room > 0).select("node", F.explode(F.slice("shared", F.lit(1), F.least(room, F.size("shared")))).alias("s")).select("node", "s.value")
-    return lists
+    return shared.where(room > 0).select("node", "n", F.explode(F.slice("shared", F.lit(1), F.least(room, F.size("shared")))).alias("s")).select("s.value", "node", "n")
+
+
+def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The texts' sets, by numbers that hold among these texts only."""
+    data = np.frombuffer(b"".join(blobs := [t.encode() for t in texts]), np.uint8)
+    offsets = np.append(0, np.cumsum([len(b) for b in blobs], dtype=np.int64))
+    h, at = shingle_sets(data, offsets, words, True)
+    return [h[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def alike(shared, a, b):
+    return 100 * shared >= SIMILARITY * (a + b - shared)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -98,114 +135,163 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) ->
     union = F.transform(F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), flip)), 1, K), flip)
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
     seen = seen.select("a", "b", whole.alias("whole"), F.size(both).alias("shared"), (F.col("na") + F.col("nb")).alias("total"), (F.size(F.array_intersect(union, both)) / F.size(union)).alias("estimate"))
-    seen = stored(seen.where((F.col("whole") & (100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))) | (~F.col("whole") & (F.col("estimate") >= ESTIMATE))).select("a", "b", "whole"))
-    exact = seen.where("not whole").select("a", "b")
+    exact = stored(seen.where((F.col("whole") & (100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))) | (~F.col("whole") & (F.col("estimate") >= ESTIMATE))).select("a", "b"))
     wanted = texts.join(exact.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     ready = exact.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def confirm(batches):
-        last = None
         for batch in batches:
             a, b = column(batch, "a"), column(batch, "b")
-            sets_b = list(_sets(batch, "tb", words))
-            hits = []
-            for i, t in enumerate(batch.column(batch.schema.get_field_index("ta"))):
-                t = t.as_py()
-                if last is None or t != last[0]:
-                    last = (t, next(_sets_of([t], words)))
-                shared = len(np.intersect1d(last[1], sets_b[i], True))
-                if 100 * shared >= SIMILARITY * (len(last[1]) + len(sets_b[i]) - shared):
-                    hits.append(i)
+            ta, tb = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("ta", "tb"))
+            hits, i = [], 0
+            while i < len(a):
+                place: dict[str, int] = {}
+                size, j = 0, i
+                while j < len(a) and size < CHARS:
+                    for t in (ta[j], tb[j]):
+                        if t not in place:
+                            place[t] = len(place)
+                            size += len(t)
+                    j += 1
+                own = exact_sets(list(place), words)
+                for k in range(i, j):
+                    x, y = own[place[ta[k]]], own[place[tb[k]]]
+                    if alike(len(np.intersect1d(x, y, True)), len(x), len(y)):
+                        hits.append(k)
+                i = j
             yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(b[hits])], ["a", "b"])
         release()
 
-    return seen.where("whole").select("a", "b").union(ready.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"))
+    return ready.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
-def _sets(batch: pa.RecordBatch, name: str, words: int):
-    only = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(name))], ["text"])
-    for _, _, offsets, data in slices(only):
-        h, at = shingle_sets(data, offsets, words)
-        yield from (h[x:y] for x, y in zip(at, at[1:], strict=False))
+CHARS = 4 << 20
 
 
-def _sets_of(texts: list[str], words: int):
-    return _sets(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", words)
+def inverted(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order]
+
+
+def shared_with(one: np.ndarray, value: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
+    """How many members of the set `one` each of n sets holds; value, member: from inverted()."""
+    lo, hi = np.searchsorted(value, one), np.searchsorted(value, one, "right")
+    k = hi - lo
+    return np.bincount(member[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=n)
+
+
+def estimates(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The similarities of a sketch with others by their unions' sketches."""
+    out = np.empty(len(others))
+    for i in range(0, len(others), 2048):
+        some = others[i : i + 2048]
+        size = np.array([len(o) for o in some])
+        width = len(one) + int(size.max())
+        rows = np.zeros((len(some), width), np.uint64)
+        rows[:, : len(one)] = one
+        rows[:, len(one) :][np.arange(width - len(one))[None, :] < size[:, None]] = np.concatenate(some)
+        filled = np.arange(width)[None, :] < (len(one) + size)[:, None]
+        rows[~filled] = np.iinfo(np.uint64).max
+        rows.sort(1)
+        new = np.ones(rows.shape, bool)
+        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        rank = np.cumsum(new, 1)
+        twice = ~new & (rank <= K) & filled
+        most = np.minimum(K, (new & filled).sum(1))
+        out[i : i + 2048] = twice.sum(1) / np.maximum(1, most)
+    return out
 
 
-def links_in_block(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links between components, over shared shingles: rows of (node, component, block, set). A pair is looked at only
-    as long as its components are apart; with two blocks, only pairs across them."""
-    if len(rows) < 2:
-        return []
-    component = np.array([r[1] for r in rows])
-    block = np.array([r[2] for r in rows])
-    size = np.array([len(r[3]) for r in rows])
-    flat, owner = np.concatenate([r[3] for r in rows]), np.repeat(np.arange(len(rows)), size)
-    order = np.argsort(flat, kind="stable")
-    value, member = flat[order], owner[order]
-    kinds, often = np.unique(component, return_counts=True)
-    most = kinds[np.argmax(often)]
-    two = block.min() != block.max()
+def with_partner(i: int, j: int, component: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[np.ndarray]) -> np.ndarray:
+    """Which documents of the blocks i and j may have a link into another component, by their sketches."""
+    out = np.zeros(len(n), bool)
+    value, member = inverted(np.concatenate(sketch), np.repeat(np.arange(len(n)), [len(s) for s in sketch]))
+    need = np.where(n <= FULL, -(-n * SIMILARITY // 100), NEED)
+    for x in np.flatnonzero(block == i):
+        shared = shared_with(sketch[x], value, member, len(n))
+        near = (component != component[x]) & (shared >= np.minimum(need, need[x])) & (100 * np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x]))
+        if i != j:
+            near &= block == j
+        near = np.flatnonzero(near)
+        if len(near):
+            near = near[estimates(sketch[x], [sketch[y] for y in near]) >= ESTIMATE]
+            out[near] = True
+            out[x] |= len(near) > 0
+    return out
+
+
+def links_in_block(i: int, j: int, node: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between components, of documents of block i with those of block j, over shared shingles. A pair is looked at
+    only as long as its components are apart."""
+    size = np.array([len(s) for s in sets])
+    value, member = inverted(np.concatenate(sets), np.repeat(np.arange(len(sets)), size))
+    component = component.copy()
     out = []
-    for i in np.flatnonzero(component != most) if component.max() != component.min() else []:
-        lo, hi = np.searchsorted(value, rows[i][3]), np.searchsorted(value, rows[i][3], "right")
-        k = hi - lo
-        at = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())
-        shared = np.bincount(member[at], minlength=len(rows))
-        hit = (100 * shared >= SIMILARITY * (size[i] + size - shared)) & (component != component[i])
-        if two:
-            hit &= block != block[i]
-        for j in np.flatnonzero(hit):
-            if component[j] != component[i]:
-                out.append((rows[i][0], rows[j][0]))
-                component[component == component[i]] = component[j]
+    for x in np.flatnonzero(block == i):
+        hit = alike(shared_with(sets[x], value, member, len(sets)), size[x], size) & (component != component[x])
+        if i != j:
+            hit &= block == j
+        for y in np.flatnonzero(hit):
+            if component[y] != component[x]:
+                out.append((int(node[x]), int(node[y])))
+                component[component == component[x]] = component[y]
     return out
 
 
+def pools(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """hub, i, j, node, component, block: pairs of blocks that hold all pairs of different components in open lists."""
+    named = lists.join(parts, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
+    open_lists = named.groupBy("value").agg(F.min("node").alias("hub"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2 and size > 2").select("value", "hub")
+    # all pairs with the hub are known
+    rows = stored(named.join(open_lists, "value").where("node <> hub").select("hub", "node", "n", "component").distinct())
+    sums = rows.groupBy("hub", "component").agg(F.sum("n").alias("n"))
+    main = sums.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    main = main.select("hub", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inside"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("apart"))
+    dealt = rows.join(main, "hub").withColumn("is_main", F.col("component") == F.col("main"))
+    block = F.when(F.col("is_main"), F.col("apart") + F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("apart"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    other = F.explode(F.when(F.col("is_main"), F.expr("sequence(0, apart - 1)")).otherwise(F.expr("sequence(0, apart + inside - 1)"))).alias("other")
+    return dealt.select("hub", "node", "component", "block", other).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+
+
 def links(sets: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """a, b: enough verified links that components are exactly those of all links. sets: node, n, sketch."""
     lists = stored(listed(sets))
-    in_lists = stored(lists.select("node").distinct())
+    in_lists = lists.select("node").distinct()
     texts = stored(with_bits(texts, "node", in_lists).join(in_lists, "node", "left_semi"))
-    hubs = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
+    hubs = lists.groupBy("value").agg(F.min("node").alias("a"))
     starred = lists.join(hubs, "value").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = stored(verified(starred, sets, texts, words))
     parts = connected_components(found)
-    named = lists.join(parts, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
-    open_lists = named.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2 and size > 2").select("value", "size")
-    rest = stored(named.join(open_lists, "value"))
-
-    few = rest.where(F.col("size") <= SMALL)
-    left, right = (few.select("value", F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-    across = left.join(right, "value").where("a < b and ca <> cb").select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
-    more = verified(across, sets, texts, words)
-
-    def blocks(batches):
-        now, rows = None, []
-        for batch in batches:
-            some = [batch.column(i).to_pylist() for i in range(6)]
-            for (value, i, j, node, component, block), s in zip(zip(*some, strict=True), _sets(batch, "text", words), strict=True):
-                if (value, i, j) != now:
-                    if rows:
-                        yield links_in_block(rows)
-                    now, rows = (value, i, j), []
-                rows.append((node, component, block, s))
-        if rows:
-            yield links_in_block(rows)
-
-    def in_blocks(batches):
-        for got in blocks(batches):
+    n = partitions(texts)
+
+    def possible(batches):
+        for (_, i, j), t in tables(batches, 3):
+            node, component, block, size = (t.column(x).to_numpy() for x in ("node", "component", "block", "n"))
+            flat = t.column("sketch").combine_chunks()
+            flat = flat.flatten().to_numpy().view(np.uint64) if isinstance(flat, pa.ListArray) else np.concatenate([c.flatten().to_numpy() for c in flat.chunks]).view(np.uint64)
+            ends = np.cumsum(np.minimum(size, K))
+            keep = with_partner(i, j, component, block, size, np.split(flat, ends[:-1]))
+            if keep.any():
+                yield t.select(["hub", "i", "j", "node", "component", "block"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+    by = ("hub", "i", "j")
+    cells = "hub long, i int, j int, node long, component long, block int"
+    drawn = pools(lists, parts).join(sets, "node").select(*by, "node", "component", "block", "n", "sketch")
+    few = stored(drawn.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(possible, cells))
+
+    def confirmed(batches):
+        for (_, i, j), t in tables(batches, 3):
+            got = links_in_block(i, j, *(t.column(x).to_numpy() for x in ("node", "component", "block")), exact_sets(t.column("text").to_pylist(), words))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+        release()
 
-    many = rest.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = many.select("value", "node", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
-    dealt = dealt.join(texts, "node").repartition(partitions(texts), "value", "i", "j").sortWithinPartitions("value", "i", "j", "node")
-    long = dealt.select("value", "i", "j", "node", "component", "block", "text").mapInArrow(in_blocks, "a long, b long")
-    return found.union(more).union(long)
+    read = few.join(texts, "node").select(*by, "node", "component", "block", "text").repartition(n, *by).sortWithinPartitions(*by, "node")
+    out = stored(found.union(read.mapInArrow(confirmed, "a long, b long")))
+    for done in (lists, texts, found, few):
+        dropped(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -216,7 +302,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # a class's own row: the one with its smallest id
     sets = stored(known.join(classes, ["digest"]).where("doc_id = node").select("node", "n", "sketch").dropDuplicates(["node", "sketch"]))
     texts = with_key(docs).where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    parts = connected_components(links(sets, texts, words))
+    found = links(sets, texts, words)
+    parts = connected_components(found)
+    dropped(sets)
     named = classes.join(parts, "node", "left").select(F.col("digest"), F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -225,8 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs' rows, all columns, without those that have a near duplicate with a smaller id in their component."""
-    gone = near_duplicates(docs, words).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, words).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS) -> list[tuple]:

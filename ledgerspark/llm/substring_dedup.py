@@ -1,19 +1,22 @@
 """Substring dedup by words: windows of consecutive words that also start in a document with a smaller id go.
 
 Pass one: partition sketches of window hashes merge into a count-min sketch (sketch.py). Pass two: windows that the
-sketch estimates repeated are grouped exactly, by 96 bits of hash. A slice of texts first settles what it can alone:
+sketch estimates repeated are grouped by 128 bits of hash, made of BLAKE2 hashes of whole words by a function that isn't
+linear; a second equal pair of windows of other words is as good as impossible. A slice of texts first settles what it can alone:
 of the occurrences of a window in the slice only those in the smallest document travel, so that a window that a
 third of all documents hold sends one row for each slice, not for each document. The words that go are marked in the
 input; the result doesn't depend on order or partitions.
 
 Nulls: a null text has no words. A row whose id is null keeps all its words and removes nobody's. Rows with one id
-don't remove each other's words; repeated rows each come back. Texts with fewer words than a window stay. Other
-columns of the input aren't read.
+don't remove each other's words; repeated rows each come back. Texts with fewer words than a window stay. Texts may have
+any length. Other columns, whatever their names, are passed on unread by without_repeats. Ties: of equal windows those
+in the document with the smallest id stay, however many there are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import sketch as cms
-from ledgerspark.llm.common import BASE2, column, input_bytes, mix, partitions, release, rolling, runs, slices, with_key, word_bounds, word_hashes
+from ledgerspark.llm.common import column, fresh, input_bytes, mix, partitions, release, run_hashes, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
 
 WORDS = 50
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int, both: bool = False):
-    """For each window in some texts: a 64-bit key and, on request, 32 more bits, its text's number and its first word."""
+    """For each window in some texts: a 64-bit key and, on request, 64 more bits, its text's number and its first word."""
     starts, ends = word_bounds(data, offsets)
-    w = word_hashes(data, starts, ends)
+    w, other = word_hashes(data, starts, ends)
     firsts = np.searchsorted(starts, offsets)  # first word of each text
     counts = np.diff(firsts)
-    keys = rolling(w, width)
-    at = np.arange(len(keys))
-    valid = at + width <= np.repeat(firsts[1:], counts)[: len(keys)]
-    keys = mix(keys[valid])
+    keys = run_hashes(w, width)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(keys)]
+    valid = np.arange(len(keys)) + width <= firsts[text + 1]
     if not both:
-        return keys
-    check = (mix(rolling(w, width, BASE2)[valid]) >> np.uint64(32)).astype(np.uint32)
-    at = at[valid]
-    text = np.repeat(np.arange(len(counts)), counts)[at]
-    return keys, check, text, at - firsts[text]
+        return keys[valid]
+    at = np.flatnonzero(valid)
+    return keys[at], run_hashes(other, width)[at], text[at], at - firsts[text[at]]
 
 
 def blob_rows(cuts: np.ndarray, columns: list[np.ndarray]):
@@ -152,7 +152,7 @@ def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
             own = [r for r in rows if r["kind"] == 1]
             out = [(bucket, 0, *(r[k] for k in "abcde")) for r in rows if r["kind"] == 0]
             if own:
-                h, check, doc, key, at = (joined(own, k, t) for k, t in zip("abcde", (np.uint64, np.uint32, np.int64, np.int64, np.uint32), strict=True))
+                h, check, doc, key, at = (joined(own, k, t) for k, t in zip("abcde", (np.uint64, np.uint64, np.int64, np.int64, np.uint32), strict=True))
                 order = np.lexsort((doc, check, h))
                 h, check, doc = h[order], check[order], doc[order]
                 new = runs([h, check])
@@ -166,11 +166,17 @@ def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return dealt(settled).mapInArrow(as_spans, SPANS)
 
 
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs' rows, all columns, with `__spans`: null where nothing goes."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    right = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    return docs.join(right, (F.col("doc_id").cast("long") == F.col("__id")) & (key == F.col("__key")), "left").drop("__id", "__key")
+def with_spans(docs: DataFrame, found: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """docs' rows, all columns, with one more, whose name comes back: the spans, null where nothing goes. Only texts of
+    documents that may have spans, by a bitmap, go through a shuffle."""
+    found = stored(found)
+    number, maybe, own, key, spans = fresh(docs, "doc_number", "may_have", "span_id", "span_key", "spans_found")
+    flagged = with_bits(docs.withColumn(number, F.col("doc_id").cast("long")), number, found.select(F.col("doc_id").alias(own)), maybe)
+    right = found.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("spans").alias(spans))
+    same = (F.col(number) == F.col(own)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(key))
+    hit = flagged.where(F.col(maybe)).join(right, same, "left").select(*docs.columns, spans)
+    rest = flagged.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("binary").alias(spans))
+    return hit.union(rest), spans
 
 
 def kept_words(text: bytes, spans: bytes | None) -> tuple[int, int, list[bytes]]:
@@ -193,25 +199,40 @@ def substring_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
             got = [kept_words((t or "").encode(), s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([b" ".join(g[2]).decode() for g in got], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_words(docs, words))
-    return rows.select("doc_id", "text", "__spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows, found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_words(docs, words))
+    return rows.select("doc_id", "text", found).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs' rows and columns with repeated passages cut out of text; texts that lose nothing stay as they are."""
+def kept_text(text: str, spans: bytes) -> str:
+    """The text without the words of its spans, each with the white space before it; what stays keeps its own."""
+    words = list(WORD.finditer(text))
+    out, last = [], 0
+    for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
+        out.append(text[last : words[a - 1].end() if a else 0])
+        last = words[b - 1].end()
+    out.append(text[last:])
+    return "".join(out)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
-    def cut(texts, found):
-        return [b" ".join(kept_words(t.encode(), s)[2]).decode() for t, s in zip(texts, found, strict=True)]
+
+def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs' rows and columns with repeated passages cut out of text, each with the white space before its words; texts
+    that lose nothing stay as they are. Documents of which no word is left go; those that had none before stay."""
 
     @F.pandas_udf("string")
     def shortened(texts, found):
         import pandas as pd
 
-        return pd.Series([t if s is None else " ".join(cut([t], [s])) for t, s in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([kept_text(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    rows = with_spans(docs, repeated_words(docs, words))
+    rows, found = with_spans(docs, repeated_words(docs, words))
+    (was,) = fresh(rows, "text_was")
     shortened = shortened.asNondeterministic()  # else a filter on the text has it run twice
-    return rows.withColumn("text", shortened("text", "__spans")).drop("__spans")
+    cut = rows.where(F.col(found).isNotNull()).withColumnRenamed("text", was)
+    cut = cut.withColumn("text", shortened(was, found)).where(F.col("text").rlike(WORD.pattern))
+    return cut.select(*docs.columns).union(rows.where(F.col(found).isNull()).select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

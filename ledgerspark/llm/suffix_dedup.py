@@ -292,8 +292,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 kept.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_bytes(docs))
-    return rows.select("doc_id", "text", "__spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows, found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_bytes(docs))
+    return rows.select("doc_id", "text", found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import byte_bpe, hilbert_search, language_id, line_dedup, minhash_dedup, mtree_search, packing, substring_dedup, suffix_dedup, token_counts
 from ledgerspark.llm.hilbert import hilbert
@@ -74,6 +75,46 @@ def test_minhash(docs, empty, odd):
     assert kept.columns == docs.columns and kept.count() == sum(r[3] for r in minhash_dedup.brute_force(rows()))
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Words of 1,024 characters whose polynomial hashes modulo 2 ** 64 are equal."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    five = [(1, f"{x} q r s t"), (2, f"{y} q r s t")]
+    fifty = [(1, f"{x} " + " ".join(f"w{i}" for i in range(49))), (2, f"{y} " + " ".join(f"w{i}" for i in range(49)))]
+    assert got(minhash_dedup.near_duplicates(frame(spark, five))) == sorted(minhash_dedup.brute_force(five), key=str)
+    assert all(r.n_removed == 0 for r in substring_dedup.digest(frame(spark, fifty)).collect())
+
+
+def near_group(n=60, edits=12, seed=5):
+    """Copies of one text with so many words changed that some are linked with some only."""
+    rng = random.Random(seed)
+    base = [f"v{i}" for i in range(300)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(300)] = f"u{rng.random()}"
+        out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+def test_minhash_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 2000)
+    for seed in (5, 6):
+        data = near_group(seed=seed)
+        assert got(minhash_dedup.near_duplicates(frame(spark, data))) == sorted(minhash_dedup.brute_force(data), key=str)
+
+
+def test_minhash_clashing_names(spark):
+    data = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other", "z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, gone_id string").withColumn("__id", F.lit(1)).withColumn("_gone_id", F.lit(2))
+    kept = minhash_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
+
+
 def test_minhash_blocks():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
@@ -84,8 +125,11 @@ def test_minhash_blocks():
         up[root(i)] = root(j)
     want = [root(i) for i in range(40)]
     up = list(range(40))
-    for a, b in minhash_dedup.links_in_block([(i, i, 0, s) for i, s in enumerate(sets)]):
-        up[root(a)] = root(b)
+    block = np.arange(40) % 3
+    for i, j in [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]:
+        at = np.flatnonzero((block == i) | (block == j))
+        for a, b in minhash_dedup.links_in_block(i, j, at, at, block[at], [sets[x] for x in at]):
+            up[root(a)] = root(b)
     assert len({(a, root(i)) for i, a in enumerate(want)}) == len(set(want)) == len({root(i) for i in range(40)})
 
 
