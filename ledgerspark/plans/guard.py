@@ -1,46 +1,127 @@
-"""SQL from outside: one read-only statement over known tables, parsed by Catalyst, column names repaired."""
+"""SQL, paths, code and names from outside: what may pass. One read-only statement over known tables, parsed by Catalyst;
+column names repaired."""
 
 from __future__ import annotations
 
+import ast
+import os
 import re
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-FORBIDDEN = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|attach|copy|pragma|grant|merge|load|set)\b|information_schema|/\*|--", re.I)
+from ledgerspark.functions.cleaning import client_of
+
+#: Statements that may run, and what none may hold.
+ALLOWED = re.compile(r"^\s*(SELECT|WITH|EXPLAIN)\b", re.I)
+FORBIDDEN = [
+    re.compile(r"\b(DROP|ALTER|TRUNCATE|DELETE|INSERT|UPDATE|CREATE|REPLACE|GRANT|REVOKE)\b\s", re.I),
+    re.compile(r";\s*(DROP|ALTER|TRUNCATE|DELETE|INSERT|UPDATE|CREATE)", re.I),
+    re.compile(r"--\s*.*$", re.M),
+    re.compile(r"/\*.*?\*/", re.S),
+    re.compile(r"\bEXEC(UTE)?\b", re.I),
+    re.compile(r"\bxp_\w+", re.I),
+    re.compile(r"\bSYSTEM\b\s*\(", re.I),
+    re.compile(r"\bLOAD_FILE\b", re.I),
+    re.compile(r"\bINTO\s+OUTFILE\b", re.I),
+    re.compile(r"\bINTO\s+DUMPFILE\b", re.I),
+    re.compile(r"\bUNION\b.*\bSELECT\b.*\bFROM\b.*\binformation_schema\b", re.I | re.S),
+]
+#: What no path may hold.
+PATHS = [re.compile(r"\.\.[\\//]"), re.compile(r"[\\//]\.\."), re.compile(r"^~"), re.compile(r"[\x00-\x1f]"), re.compile(r'[<>"|?*]')]
+#: What no code may hold, the modules it may import, and the calls it may not make.
+CODE = [
+    re.compile(r"\b(os\.(system|exec|popen|remove|rmdir|unlink|rename))\b"),
+    re.compile(r"\b(subprocess|shutil)\.\w+"),
+    re.compile(r"\b(eval|exec|compile)\s*\("),
+    re.compile(r"\b(__import__|importlib)\b"),
+    re.compile(r"\bopen\s*\(.*[\"']w[\"']"),
+    re.compile(r"\b(requests|urllib|socket|http)\.\w+"),
+    re.compile(r"\b(pickle|marshal|shelve)\.(load|loads)\b"),
+    re.compile(r"\bglobals\s*\(\s*\)"),
+    re.compile(r"\b__builtins__\b"),
+]
+MODULES = {"pandas", "numpy", "math", "decimal", "statistics", "datetime"}
+CALLS = {"eval", "exec", "compile", "open", "__import__", "input", "breakpoint", "globals", "locals", "vars", "dir", "getattr", "setattr", "delattr"}
+HIDDEN = {"__class__", "__subclasses__", "__mro__", "__bases__", "__builtins__", "__globals__", "__import__"}
 
 
 class Refused(ValueError):
-    """The statement isn't allowed; the message says why."""
+    """It isn't allowed; the message says why."""
+
+
+def _outside_of_text(sql: str) -> str:
+    return re.sub(r"'(?:[^']|'')*'", "''", sql)
 
 
 def sanitized(sql: str) -> str:
-    return sql.strip().rstrip(";").strip()
+    """The statement without a closing semicolon, if its words may run; what's inside quotes doesn't count."""
+    sql = (sql or "").strip()
+    if not sql:
+        raise Refused("empty SQL")
+    if not ALLOWED.match(sql):
+        raise Refused(f"only SELECT, WITH and EXPLAIN, not {sql.split()[0]}")
+    bare = _outside_of_text(sql)
+    for p in FORBIDDEN:
+        if m := p.search(bare):
+            raise Refused(f"a dangerous pattern: {m[0].strip()}")
+    sql = sql.rstrip(";").strip()
+    if ";" in _outside_of_text(sql):
+        raise Refused("more than one statement")
+    return sql
 
 
-def check(spark: SparkSession, sql: str, tables: set[str] | None = None) -> str:
-    """The statement, if it may run. tables: the relations that it may read; CTE names are its own."""
+def check(spark: SparkSession, sql: str, tables: set[str]) -> str:
+    """The statement, if it may run. tables: the relations that it may read; files and functions of tables but range are
+    none of them. The names of common table expressions are the statement's own, as the parser sees them."""
     sql = sanitized(sql)
-    if not re.match(r"(select|with|explain)\b", sql, re.I):
-        raise Refused("only SELECT, WITH and EXPLAIN")
-    bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    if ";" in bare or FORBIDDEN.search(bare):
-        raise Refused("a forbidden word or more than one statement")
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"^explain\s+", "", sql, flags=re.I))
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"^\s*explain\s+", "", sql, flags=re.I))
     except ParseException as e:
         raise Refused(f"not SQL: {e.getCondition()}") from e
-    text = plan.toString()
-    read = {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    own = {m.lower() for m in re.findall(r"(?:with|,)\s*(\w+)\s+as\s*\(", sql, re.I)}
-    unknown = read - own - {t.lower() for t in tables} if tables is not None else set()
+    read, own, made = _relations(plan)
+    unknown = read - own - {t.lower() for t in tables}
     if unknown:
         raise Refused(f"unknown tables: {', '.join(sorted(unknown))}")
+    if made - {"range", "explode", "posexplode", "inline", "stack"}:
+        raise Refused(f"functions of tables: {', '.join(sorted(made))}")
     return sql
 
 
-def run(spark: SparkSession, sql: str, tables: set[str] | None = None, retries: int = 3) -> DataFrame:
-    """The checked statement's result; an unknown column is replaced by Catalyst's first proposal, up to `retries` times."""
+def _relations(plan) -> tuple[set[str], set[str], set[str]]:
+    """Relations that a parsed plan reads, its common table expressions, and its functions of tables."""
+    read, own, made = set(), set(), set()
+
+    def each(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            read.add(".".join(each(node.multipartIdentifier())).lower())
+        elif kind == "UnresolvedTableValuedFunction":
+            made.add(".".join(each(node.name())).lower())
+        elif kind == "UnresolvedWith":
+            for pair in each(node.cteRelations()):
+                own.add(str(pair.productElement(0)).lower())
+                walk(pair.productElement(1))
+        for child in each(node.children()):
+            walk(child)
+        for sub in each(node.subqueries()):
+            walk(sub)
+        for inner in each(node.innerChildren()):
+            if hasattr(inner, "subqueries") and kind == "UnresolvedWith":
+                walk(inner)
+
+    walk(plan)
+    return read, own, made
+
+
+def run(spark: SparkSession, sql: str, tables: set[str], retries: int = 3) -> DataFrame:
+    """The checked statement's result; an unknown column is replaced by one of Catalyst's proposals, up to `retries` times:
+    `col_` and the name, else one that holds it, else the first."""
     sql = check(spark, sql, tables)
     for left in range(retries, -1, -1):
         try:
@@ -49,8 +130,68 @@ def run(spark: SparkSession, sql: str, tables: set[str] | None = None, retries:
             return df
         except AnalysisException as e:
             found = e.getMessageParameters() or {}
-            name, proposal = found.get("objectName", "").strip("`"), found.get("proposal", "").split(", ")[0].split(".")[-1].strip("`")
-            if not left or e.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION" or not proposal:
+            name = found.get("objectName", "").strip("`").split("`.`")[-1]
+            offered = [p.split(".")[-1].strip("`") for p in found.get("proposal", "").split(", ") if p]
+            if not left or e.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION" or not offered:
                 raise
-            sql = re.sub(rf"(?<!\w)`?{re.escape(name)}`?(?!\w)", f"`{proposal}`", sql)
+            best = next((p for p in offered if p == f"col_{name}"), None) or next((p for p in offered if name.lower() in p.lower()), offered[0])
+            sql = re.sub(rf"(?<!\w)`?{re.escape(name)}`?(?!\w)", f"`{best}`", sql)
     raise AssertionError
+
+
+def scalar(df: DataFrame) -> object:
+    """The first column of the first row; None if there is no row."""
+    row = df.limit(1).first()
+    return row[0] if row else None
+
+
+def number(df: DataFrame) -> object:
+    """A result of one row and one column as a float, if it's a number; any other as it is."""
+    value = scalar(df) if len(df.columns) == 1 and df.limit(2).count() == 1 else None
+    try:
+        return float(value) if value is not None else df
+    except (TypeError, ValueError):
+        return value
+
+
+def path(given: str, bases: list[str] | None = None) -> str:
+    """The path, resolved, if it stays where it may."""
+    if not given or not given.strip():
+        raise Refused("empty path")
+    if any(p.search(given) for p in PATHS):
+        raise Refused(f"not a path inside: {given}")
+    real = os.path.realpath(os.path.abspath(given))
+    inside = lambda b: os.path.commonpath([real, os.path.realpath(b)]) == os.path.realpath(b)
+    if bases and not any(map(inside, bases)):
+        raise Refused("outside of the folders that are allowed")
+    return real
+
+
+def client(name: str) -> str:
+    """The client's id in lower case."""
+    found = client_of(name)
+    if found == "invalid":
+        raise Refused(f"not a client's id: {name!r}")
+    return found
+
+
+def python(code: str, modules: set[str] = MODULES) -> ast.Module:
+    """The code, parsed, if it imports, calls and names only what it may."""
+    if not code or not code.strip():
+        raise Refused("empty code")
+    for p in CODE:
+        if m := p.search(code):
+            raise Refused(f"an unsafe pattern: {m[0]}")
+    try:
+        tree = ast.parse(code)
+    except SyntaxError as e:
+        raise Refused(f"not Python: {e}") from e
+    for node in ast.walk(tree):
+        names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+        if bad := [n for n in names if n.split(".")[0] not in modules]:
+            raise Refused(f"may not import {bad[0]}")
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in CALLS:
+            raise Refused(f"may not call {node.func.id}")
+        if (isinstance(node, ast.Attribute) and node.attr in HIDDEN) or (isinstance(node, ast.Name) and node.id in HIDDEN):
+            raise Refused("may not look behind objects")
+    return tree

@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import cleaning, nested
-from ledgerspark.functions import routing
+from ledgerspark.functions import cleaning, nested, periods, routing
 from ledgerspark.operators import audit, logs, profile, statement, text
+from ledgerspark.plans.registry import ORACLE_SQL, QUERIES, TABLES, passed, query, table
 from ledgerspark.streaming import events as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def passed(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query that is SQL in both engines; {table} stands for a table."""
-    used = [t for t in TABLES if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", oracle or sql)
+__all__ = ["ORACLE_SQL", "QUERIES", "TABLES"]
 
 
 # templates
@@ -97,7 +65,8 @@ passed("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nati
 passed("topk_orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 passed("topk_per_group", "SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM {customer}) WHERE rn <= 3")
 
-DIGITS = "WITH d AS (SELECT CAST(regexp_extract(CAST(abs({c}) AS VARCHAR), '[1-9]') AS INT) AS digit, count(*) AS n FROM {t} WHERE {c} <> 0 GROUP BY 1), s AS (SELECT CAST(i AS INT) AS digit, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER () AS share, log10(1 + 1.0 / i) AS expected FROM range(1, 10) r(i) LEFT JOIN d ON d.digit = i)"
+DIGITS = "WITH d AS (SELECT CAST(regexp_extract(CAST(abs({c}) AS VARCHAR), '[1-9]') AS INT) AS digit, count(*) AS n FROM {t} WHERE {c} <> 0 GROUP BY 1), s AS (SELECT CAST(i AS INT) AS digit, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER () AS share, " + str(audit.EXPECTED) + "[i]::DOUBLE AS expected FROM range(1, 10) r(i) LEFT JOIN d ON d.digit = i)"
+VERDICT = ", a AS (SELECT sum(pow(share - expected, 2) / expected) AS distance, count(*) FILTER (abs(share - expected) > 0.02) AS deviations FROM s), b AS (SELECT (SELECT count({c}) FROM {t}) AS n, distance, deviations FROM a) SELECT n, CASE WHEN n >= 100 THEN round(n * distance, 4) END AS chi_square, CASE WHEN n >= 100 THEN deviations END AS deviations, CASE WHEN n < 100 THEN 'warning' WHEN n * distance > 15.51 OR deviations > 2 THEN 'fail' WHEN deviations > 0 THEN 'warning' ELSE 'pass' END AS verdict FROM b"
 
 
 @query(DIGITS.format(c="l_extendedprice", t="lineitem") + " SELECT digit, n, round(share, 8) AS share, round(expected, 8) AS expected FROM s")
@@ -105,11 +74,17 @@ def benford_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.benford_digits(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("digit", "n", F.round("share", 8).alias("share"), F.round("expected", 8).alias("expected"))
 
 
-@query(DIGITS.format(c="o_totalprice", t="orders") + ", a AS (SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n) * sum(pow(share - expected, 2) / expected), 4) AS chi_square, count(*) FILTER (abs(share - expected) > 0.05) AS deviations FROM s) SELECT *, CASE WHEN n < 100 THEN 'warning' WHEN chi_square > 15.51 OR deviations > 2 THEN 'fail' WHEN deviations > 0 THEN 'warning' ELSE 'pass' END AS verdict FROM a")
+@query((DIGITS + VERDICT).format(c="o_totalprice", t="orders"))
 def benford_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.benford_verdict(table(spark, sf_dir, "orders"), "o_totalprice")
 
 
+@query("SELECT chi_square FROM (" + (DIGITS + VERDICT).format(c="l_discount", t="lineitem") + ")")
+def benford_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a column with zeros, which count in n."""
+    return audit.benford_verdict(table(spark, sf_dir, "lineitem"), "l_discount").select("chi_square")
+
+
 def _cohort_sql(period: str, t: str, user: str, date: str, offset: str) -> str:
     return f"WITH r AS (SELECT DISTINCT {user} AS u, date_trunc('{period}', {date}) AS m FROM {t}), c AS (SELECT *, min(m) OVER (PARTITION BY u) AS first FROM r) SELECT CAST(first AS DATE) AS cohort, CAST({offset} AS INT) AS \"offset\", count(*) AS users FROM c GROUP BY 1, 2"
 
@@ -142,7 +117,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.three_way_match(invoices, orders, ledger)
 
 
-MATCH = "WITH p AS (SELECT l_orderkey AS id, round(sum(l_extendedprice), 2) AS po, round(sum(l_extendedprice * (1 - l_discount)), 2) AS ledger FROM lineitem GROUP BY 1), m AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS invoice, po, ledger FROM orders LEFT JOIN p ON p.id = o_orderkey), s AS (SELECT *, CASE WHEN po IS NULL THEN 'unmatched_po' WHEN ledger IS NULL THEN 'unmatched_ledger' WHEN abs(po - invoice) > abs(invoice) * 0.01 AND abs(ledger - invoice) > abs(invoice) * 0.01 THEN 'both_differ' WHEN abs(po - invoice) > abs(invoice) * 0.01 THEN 'po_differs' WHEN abs(ledger - invoice) > abs(invoice) * 0.01 THEN 'ledger_differs' ELSE 'matched' END AS status FROM m)"
+MATCH = "WITH p AS (SELECT l_orderkey AS id, round(sum(l_extendedprice), 2) AS po, round(sum(l_extendedprice * (1 - l_discount)), 2) AS ledger FROM lineitem GROUP BY 1), m AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS invoice, po, ledger, coalesce(abs(po - o_totalprice) > abs(o_totalprice) * 0.01, false) AS a, coalesce(abs(ledger - o_totalprice) > abs(o_totalprice) * 0.01, false) AS b FROM orders LEFT JOIN p ON p.id = o_orderkey), s AS (SELECT *, CASE WHEN a AND b THEN 'three_way_mismatch' WHEN a THEN 'invoice_po_mismatch' WHEN b THEN 'invoice_ledger_mismatch' WHEN po IS NULL THEN 'unmatched_po' WHEN ledger IS NULL THEN 'unmatched_ledger' ELSE 'matched' END AS status FROM m)"
 
 
 @query(MATCH + " SELECT id, status FROM s")
@@ -155,6 +130,16 @@ def three_way_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(MATCH + ", c AS (SELECT count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status <> 'matched') AS unmatched FROM s) SELECT matched, unmatched, matched + unmatched AS total, round(matched / greatest(matched + unmatched, 1) * 100, 2) AS match_rate, CASE WHEN matched / greatest(matched + unmatched, 1) >= 0.95 THEN 'pass' WHEN matched / greatest(matched + unmatched, 1) >= 0.8 THEN 'warning' ELSE 'fail' END AS verdict FROM c")
+def three_way_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.match_verdict(_matched(spark, sf_dir))
+
+
+@query(MATCH + " SELECT id, status, round(abs(invoice - CASE WHEN status = 'invoice_ledger_mismatch' THEN ledger ELSE po END), 2) AS difference FROM s WHERE status LIKE '%mismatch' ORDER BY id LIMIT 20")
+def three_way_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.discrepancies(_matched(spark, sf_dir))
+
+
 def _statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label"), F.year("o_orderdate").alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
 
@@ -191,7 +176,10 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 each = lambda sql: " UNION ALL ".join(sql.format(c=c) for c in NUMBERS)
 
 
-@query(each("SELECT '{c}' AS \"column\", count({c}) AS non_null, round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100, 2) AS null_pct, min({c}) AS low, max({c}) AS high, round(avg({c}), 6) AS mean, count(DISTINCT {c}) AS \"distinct\" FROM lineitem"))
+MICRO = "sum(CAST(round({c} * 1000000) AS HUGEINT))"
+
+
+@query(each("SELECT '{c}' AS \"column\", count({c}) AS non_null, round((1 - count({c}) / count(*)) * 100, 2) AS null_pct, min({c}) AS low, max({c}) AS high, sign(" + MICRO + ") * ((2 * abs(" + MICRO + ") + count({c})) // (2 * count({c}))) / 1000000.0::DOUBLE AS mean, count(DISTINCT {c}) AS \"distinct\" FROM lineitem"))
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.columns(table(spark, sf_dir, "lineitem"), NUMBERS)
 
@@ -219,9 +207,39 @@ def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_values(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@query()
+FREE = each("SELECT '{c}' AS \"column\", round(count({c}) / count(*) * 100, 1) AS completeness, 100.0::DOUBLE AS consistency, CASE WHEN count({c}) >= 4 AND q3 > q1 THEN round((1 - count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c})) * 100, 1) ELSE 100.0::DOUBLE END AS outlier_free FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem) GROUP BY q1, q3")
+FLAG = "SELECT 'l_returnflag' AS \"column\", round(count(l_returnflag) / count(*) * 100, 1) AS completeness, round(greatest(count(TRY_CAST(l_returnflag AS DOUBLE)) / count(l_returnflag), 1 - count(TRY_CAST(l_returnflag AS DOUBLE)) / count(l_returnflag)) * 100, 1) AS consistency, 100.0::DOUBLE AS outlier_free FROM lineitem"
+QUALITY = f"SELECT *, round(completeness * 0.5 + consistency * 0.25 + outlier_free * 0.25, 1) AS quality FROM ({FREE} UNION ALL {FLAG})"
+
+
+@query(QUALITY)
 def profile_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.quality(table(spark, sf_dir, "lineitem"), NUMBERS)
+    return profile.quality(table(spark, sf_dir, "lineitem"), [*NUMBERS, "l_returnflag"])
+
+
+@query(f"WITH g AS (SELECT CAST((2 * sum(CAST(round(quality * 10) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS quality, CAST((2 * sum(CAST(round(completeness * 10) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10 AS completeness FROM ({QUALITY})) SELECT *, CASE WHEN quality >= 90 THEN 'A' WHEN quality >= 75 THEN 'B' WHEN quality >= 60 THEN 'C' ELSE 'D' END AS grade FROM g")
+def profile_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.grade(profile.quality(table(spark, sf_dir, "lineitem"), [*NUMBERS, "l_returnflag"]))
+
+
+@query("WITH o AS (SELECT o_orderkey AS row, round(o_totalprice, 2) AS value, CASE WHEN o_totalprice < q1 - 0.2 * (q3 - q1) THEN 'LOW' WHEN o_totalprice > q3 + 0.2 * (q3 - q1) THEN 'HIGH' END AS dir FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)) SELECT 'o_totalprice' AS \"column\", row, value, dir FROM o WHERE dir IS NOT NULL ORDER BY row, value LIMIT 5")
+def profile_outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.outlier_rows(table(spark, sf_dir, "orders"), ["o_totalprice"], "o_orderkey", fence=0.2)
+
+
+@query("SELECT \"column\", skew, kurtosis, CASE WHEN abs(skew) < 0.5 THEN 'symmetric' WHEN skew > 0 THEN 'right-skewed' ELSE 'left-skewed' END AS shape, CASE WHEN kurtosis > 3 THEN 'heavy-tailed' WHEN kurtosis < -1 THEN 'light-tailed' ELSE 'normal-tailed' END AS tail FROM (" + ORACLE_SQL["profile_shape"] + ")")
+def profile_shape_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.labelled_shape(table(spark, sf_dir, "lineitem"), NUMBERS)
+
+
+MIXED = "(SELECT l_quantity, l_extendedprice + 900 * l_quantity AS l_extendedprice, l_discount, l_tax - l_discount AS l_tax FROM lineitem)"
+
+
+@query("SELECT a, b, round(r, 3) AS r, CASE WHEN abs(r) > 0.8 THEN 'strong' ELSE 'moderate' END AS strength FROM (" + ORACLE_SQL["profile_correlations"].replace("FROM lineitem", "FROM " + MIXED) + ") WHERE abs(r) > 0.5 ORDER BY abs(r) DESC LIMIT 5")
+def profile_strong_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On columns that depend on each other."""
+    mixed = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_extendedprice") + 900 * F.col("l_quantity")).alias("l_extendedprice"), "l_discount", (F.col("l_tax") - F.col("l_discount")).alias("l_tax"))
+    return profile.strong_correlations(mixed, NUMBERS)
 
 
 # cleaning
@@ -232,12 +250,16 @@ def clean_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", cleaning.currency(dirty).alias("amount"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part WHERE NOT regexp_matches(p_name, '^[^a-zA-Z]*[0-9]')")
+@query("SELECT p_partkey, CASE WHEN regexp_matches(n, '^[0-9]') THEN 'col_' || n ELSE n END AS name FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM part)")
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", cleaning.safe_name(F.col("p_name")).alias("name"))
 
 
-@query("SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS tenant FROM customer")
+PLAIN_ID = "regexp_replace(regexp_replace(regexp_replace(translate(trim(lower({c})), ' -:/\\', '_____'), '[^a-z0-9_.]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+TENANT = f"coalesce(nullif({PLAIN_ID}, ''), 'default_client')"
+
+
+@query("SELECT c_custkey, " + TENANT.format(c="c_name") + " AS tenant FROM customer")
 def tenant_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", cleaning.tenant(F.col("c_name")).alias("tenant"))
 
@@ -259,28 +281,40 @@ def shingles_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.shingles(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
-@query()
+HASHED = "SELECT w, CAST('0x' || substr(md5(w), 25, 8) AS BIGINT) AS lo, CAST('0x' || substr(md5(w), 17, 8) AS BIGINT) AS hi"
+#: DuckDB: 64 votes of words between white space, in two halves.
+SIMHASH = "WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '" + text.SPACE_SQL + "+'), lambda w: w <> '')) AS w FROM documents), k AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), h AS (" + HASHED + ", doc_id, n FROM k), v AS (SELECT doc_id, sum(n) AS n, " + ", ".join(f"sum(n * (({x} >> {i}) & 1)) AS {x}{i}" for x in ("lo", "hi") for i in range(32)) + " FROM h GROUP BY doc_id), s AS (SELECT doc_id, " + ", ".join("(" + " + ".join(f"CASE WHEN 2 * {x}{i} > n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32)) + f") AS {x}" for x in ("lo", "hi")) + " FROM v), f AS (SELECT d.doc_id, coalesce(CASE WHEN hi >= 2147483648 THEN hi - 4294967296 ELSE hi END * 4294967296 + lo, 0)::BIGINT AS simhash FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)"
+
+
+@query(SIMHASH + " SELECT * FROM f")
 def text_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(SIMHASH + ", c AS (SELECT simhash, min(doc_id) AS doc_id FROM f GROUP BY simhash) SELECT c.doc_id AS a, f.doc_id AS b, 0 AS distance FROM f JOIN c ON f.simhash = c.simhash WHERE f.doc_id <> c.doc_id UNION ALL SELECT a.doc_id, b.doc_id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INT) FROM c a JOIN c b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3")
 def simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.close_fingerprints(text.fingerprints(table(spark, sf_dir, "documents")))
 
 
+#: A common word, which most texts of one language hold, and rarer ones.
+ASKED = "the of the coas óas"
+#: DuckDB: Okapi with the floor for words that more than half of all texts hold.
 BM25 = """
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'than')) AS a, len(list_filter(w, lambda x: x = 'that')) AS b FROM t),
-s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
-r AS (SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * n / mean)), 8) AS score FROM f, s)
-SELECT * FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{space}+'), lambda w: w <> '') AS w FROM documents),
+n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
+d AS (SELECT term, count(*) AS d FROM (SELECT unnest(list_distinct(w)) AS term FROM t) GROUP BY term),
+i AS (SELECT term, ln(docs - d + 0.5) - ln(d + 0.5) AS idf FROM d, n),
+g AS (SELECT avg(idf) AS idf FROM i),
+q AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split('{asked}', ' ')) AS term) GROUP BY term),
+z AS (SELECT q.term, times, CASE WHEN i.idf < 0 THEN 0.25 * g.idf ELSE i.idf END AS idf FROM q JOIN i ON i.term = q.term, g),
+r AS (SELECT doc_id, sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / mean))) AS score FROM (SELECT doc_id, len(w) AS len, z.*, len(list_filter(w, lambda x: x = z.term)) AS f FROM t, z), n WHERE f > 0 GROUP BY doc_id)
+SELECT doc_id, round(score, 8) AS score FROM r WHERE round(score, 8) > 0 ORDER BY round(score, 8) DESC, doc_id LIMIT {k}
 """
 
 
-@query(BM25)
+@query(BM25.format(space=text.SPACE_SQL, asked=ASKED, k=10))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.bm25(table(spark, sf_dir, "documents"), "that than")
+    return text.bm25(table(spark, sf_dir, "documents"), ASKED)
 
 
 @query("WITH q AS (SELECT list_transform(range(1, 65), lambda i: CASE WHEN i <= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 8) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")
@@ -288,17 +322,47 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.cosine(table(spark, sf_dir, "embeddings"), [1.0] * 4 + [0.0] * 60)
 
 
-@query("SELECT doc_id, CAST(c AS INT) AS chunk, substr(text, CAST(c AS BIGINT) * 700 + 1, 800) AS text FROM documents, range(0, 1000) r(c) WHERE text <> '' AND c * 700 <= greatest(length(text) - 101, 0)")
-def chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT doc_id, CAST(c AS INT) AS chunk, substr(text, CAST(c AS BIGINT) * 700 + 1, 800) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 101, 0) // 700 + 1)) AS c FROM documents WHERE text <> '')")
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunks(table(spark, sf_dir, "documents"))
 
 
+STRIPPED = "regexp_replace({x}, '^" + text.SPACE_SQL.replace("{", "{{").replace("}", "}}") + "+|" + text.SPACE_SQL.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+#: DuckDB: paragraphs one by one.
+PROSE = (
+    "WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n" + text.SPACE_SQL + "*\\n'), lambda x: " + STRIPPED.format(x="x") + "), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL), "
+    "r AS (SELECT doc_id, p, 1 AS i, '' AS now, CAST(NULL AS VARCHAR) AS made, 0 AS n FROM p UNION ALL SELECT doc_id, p, i + 1, CASE WHEN length(now) + length(p[i]) > 500 THEN right(now, 50) || ' ' || p[i] ELSE "
+    + STRIPPED.format(x="now || chr(10) || chr(10) || p[i]") + " END, CASE WHEN length(now) + length(p[i]) > 500 AND length(now) >= 100 THEN " + STRIPPED.format(x="now") + " END, n + CASE WHEN length(now) + length(p[i]) > 500 AND length(now) >= 100 THEN 1 ELSE 0 END FROM r WHERE i <= len(p)) "
+    "SELECT doc_id, CAST(n - 1 AS INT) AS chunk, made AS text FROM r WHERE made IS NOT NULL UNION ALL SELECT doc_id, CAST(n AS INT), " + STRIPPED.format(x="now") + " FROM r WHERE i = len(p) + 1 AND length(now) >= 100"
+)
+
+
+@query(PROSE)
+def chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.paragraphs(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: lines one by one, each chunk headed by the first line.
+LINES = (
+    "WITH RECURSIVE l AS (SELECT doc_id, string_split(" + STRIPPED.format(x="text") + ", chr(10)) AS l FROM documents WHERE text IS NOT NULL), "
+    "r AS (SELECT doc_id, l, 2 AS i, l[1] AS now, length(l[1]) AS size, 1 AS parts, CAST(NULL AS VARCHAR) AS made, 0 AS n FROM l UNION ALL SELECT doc_id, l, i + 1, CASE WHEN size + length(l[i]) > 500 THEN l[1] ELSE now END || chr(10) || l[i], "
+    "CASE WHEN size + length(l[i]) > 500 THEN length(l[1]) ELSE size END + length(l[i]), CASE WHEN size + length(l[i]) > 500 THEN 2 ELSE parts + 1 END, CASE WHEN size + length(l[i]) > 500 AND size >= 100 THEN now END, n + CASE WHEN size + length(l[i]) > 500 AND size >= 100 THEN 1 ELSE 0 END FROM r WHERE i <= len(l)) "
+    "SELECT doc_id, CAST(n - 1 AS INT) AS chunk, made AS text FROM r WHERE made IS NOT NULL UNION ALL SELECT doc_id, CAST(n AS INT), now FROM r WHERE i = len(l) + 1 AND parts > 1"
+)
+
+
+@query(LINES)
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.table_chunks(table(spark, sf_dir, "documents"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'fr' AND source = 'src1'")
 def meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where((F.col("lang") == "fr") & (F.col("source") == "src1")).select("doc_id", "lang")
 
 
-NOT_LATIN = r"coalesce(length(regexp_replace(text, '[^\p{L}]|\p{Latin}', '', 'g')) > 0.1 * length(regexp_replace(text, '[^\p{L}]', '', 'g')), false)"
+LETTERS = r"regexp_replace(text, '[^\p{L}]', '', 'g')"
+NOT_LATIN = f"coalesce(length({LETTERS}) - length(regexp_replace({LETTERS}, '{text.OTHER}', '', 'g')) > 0.1 * length({LETTERS}), false)"
 
 
 @query(f"SELECT doc_id, {NOT_LATIN} AS non_english FROM documents")
@@ -306,33 +370,53 @@ def non_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.non_english(F.col("text")).alias("non_english"))
 
 
-@query()
+@query("WITH RECURSIVE i AS (SELECT conv_id AS g, turn AS id, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), r AS (SELECT DISTINCT g, 0::BIGINT AS n, 0::BIGINT AS used, []::BIGINT[] AS ids FROM i UNION ALL SELECT r.g, i.n, CASE WHEN used + size <= 400 THEN used + size ELSE used END, CASE WHEN used + size <= 400 THEN list_append(ids, i.id) ELSE ids END FROM r JOIN i ON i.g = r.g AND i.n = r.n + 1) SELECT g AS \"group\", arg_max(ids, n) AS ids, arg_max(used, n) AS used FROM r GROUP BY g")
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
-    return text.packed_to_budget(items, 20_000)
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group"), F.col("turn").alias("rank"), F.col("turn").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return text.packed_to_budget(items, 400)
 
 
 # routing, events
-@query(routing.SQL.format(t="conversations"))
+@query(routing.SQL.replace("{t}", "conversations"))
 def route_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.track(F.col("text")).alias("track"))
 
 
-@query("SELECT conv_id, turn, regexp_extract_all(upper(coalesce(text, '')), '\\b(?:FY ?[0-9]{2,4}|Q[1-4](?: FY ?[0-9]{2,4})?|(?:19|20)[0-9]{2})\\b') AS periods FROM conversations")
+@query("SELECT conv_id, turn, " + periods.periods_sql("coalesce(text, '')") + " AS periods FROM conversations")
 def ner_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.periods(F.col("text")).alias("periods"))
+    return _kinds(table(spark, sf_dir, "conversations").select("conv_id", "turn", periods.periods(F.col("text")).alias("periods")))
+
+
+def _kinds(found: DataFrame) -> DataFrame:
+    return found.withColumn("periods", F.transform("periods", lambda p: F.concat(p["kind"], F.lit(":"), p["normalized"])))
+
+
+#: Texts with periods in every spelling, from the orders' dates.
+SPOKEN = "CASE o_orderkey % 8 WHEN 0 THEN 'Revenue for Q' || {q} || ' FY' || {yy} WHEN 1 THEN 'H1 FY ' || chr(39) || {yy} || ' vs 9MFY' || {yy} WHEN 2 THEN 'fiscal year ' || {y} || ', quarter ' || {q} WHEN 3 THEN 'as of ' || {d} WHEN 4 THEN 'March-' || {yy} || ' and sept ' || {y} WHEN 5 THEN 'CY' || {y} || ' Q' || {q} || ' ' || {yy} WHEN 6 THEN 'YTD FY' || {yy} || ' to 01/02/' || {y} ELSE 'nothing here' END"
+
+
+@query("SELECT o_orderkey, " + periods.periods_sql("t") + " AS periods FROM (SELECT o_orderkey, " + SPOKEN.format(q="quarter(o_orderdate)", y="year(o_orderdate)", yy="lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0')", d="strftime(o_orderdate, '%Y-%m-%d')") + " AS t FROM orders)")
+def ner_periods_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = F.expr(SPOKEN.format(q="quarter(o_orderdate)", y="year(o_orderdate)", yy="lpad(cast(year(o_orderdate) % 100 as string), 2, '0')", d="date_format(o_orderdate, 'yyyy-MM-dd')"))
+    return _kinds(table(spark, sf_dir, "orders").select("o_orderkey", periods.periods(spoken).alias("periods")))
 
 
 passed("json_props", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM {events} GROUP BY event_type", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM {events} GROUP BY event_type")
-passed("pii_mask", "SELECT c_custkey, '<MASKED>' AS c_name, c_mktsegment FROM {customer}")
+
+
+@query("SELECT c_custkey, '<MASKED>' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.masked(table(spark, sf_dir, "customer"))
 
 
 @query("SELECT event_type, count(*) AS n, round(list_sort(list(value))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1], 6) AS p95 FROM events GROUP BY event_type")
 def hist_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By rank in a window, so that no list of all values is built."""
-    w = Window.partitionBy("event_type")
-    ranked = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("r") == F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1) + 1).select("event_type", "n", F.round("value", 6).alias("p95"))
+    return logs.histogram(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.col("count").alias("n"), F.round("p95", 6).alias("p95"))
+
+
+@query('SELECT event_type, count(value) AS "count", min(value) AS "min", max(value) AS "max", ' + ", ".join(f"list_sort(list(value))[least(CAST(floor(count(value) * {s}) AS BIGINT), count(value) - 1) + 1] AS {p}" for p, s in logs.SHARES.items()) + " FROM events GROUP BY event_type")
+def hist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.histogram(table(spark, sf_dir, "events"), "event_type", "value").drop("mean")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -353,10 +437,24 @@ passed("join_asof_prior", PRIOR.format(last="last_value(CASE WHEN event_type = '
 passed("cohort_first", "SELECT o_custkey, CAST(min(date_trunc('month', o_orderdate)) AS DATE) AS cohort FROM {orders} GROUP BY o_custkey")
 
 
-@query(f'SELECT "offset", round(avg(retention), 2) AS retention FROM ({ORACLE_SQL["cohort_retention"]}) WHERE retention > 0 GROUP BY "offset"')
+@query(f'SELECT "offset", CAST((2 * sum(CAST(round(retention * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS retention FROM ({ORACLE_SQL["cohort_retention"]}) WHERE "offset" > 0 GROUP BY "offset"')
 def cohort_avg_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.retention(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
-    return found.where("retention > 0").groupBy("offset").agg(F.round(F.avg("retention"), 2).alias("retention"))
+    return audit.average_retention(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("SELECT cohort, " + ", ".join(f'max(users) FILTER ("offset" = {i}) AS p{i}' for i in range(6)) + " FROM (" + ORACLE_SQL["cohort_counts_quarter"] + ") GROUP BY cohort")
+def cohort_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.cohort_matrix(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "quarter", 6)
+
+
+@query("WITH r AS (SELECT DISTINCT o_custkey AS u, date_trunc('month', o_orderdate) AS m FROM orders), c AS (SELECT *, min(m) OVER (PARTITION BY u) AS first FROM r) SELECT CAST(first AS DATE) AS cohort, CAST(date_diff('day', first, m) // 30 AS INT) AS \"offset\", count(DISTINCT u) AS users FROM c GROUP BY 1, 2")
+def cohort_counts_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.cohorts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", by="days")
+
+
+@query("WITH r AS (SELECT o_custkey AS u, date_trunc('quarter', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), c AS (SELECT *, min(m) OVER (PARTITION BY u) AS first FROM r) SELECT CAST(first AS DATE) AS cohort, CAST(date_diff('quarter', first, m) AS INT) AS \"offset\", round(sum(v), 2) AS value FROM c GROUP BY 1, 2")
+def cohort_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.cohort_values(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "quarter").withColumn("value", F.round("value", 2))
 
 
 LABELS = {"1": "Revenue", "2": "Gross Profit", "3": "EBITDA", "4": "Net Profit", "5": "Interest Expense"}
@@ -401,7 +499,7 @@ def minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.minhash(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query(routing.TOOL_SQL.format(t="conversations"))
+@query(routing.TOOL_SQL.replace("{t}", "conversations"))
 def tool_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.tool(F.col("text")).alias("tool"))
 
@@ -411,3 +509,8 @@ def log_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     log = table(spark, sf_dir, "events").select("event_id", kind.alias("query_text"), F.when(kind != "view", F.col("value")).alias("result"), F.col("props").alias("provenance"), F.when(kind == "error", "error").otherwise("success").alias("status"), F.when(kind == "signup", "sql").alias("method"), F.when(F.col("value") > 50, F.col("value")).alias("latency_ms"))
     return logs.tier(log).select("event_id", "tier")
+
+
+from ledgerspark.plans import more  # noqa: E402  the other queries
+
+ORACLE_SQL["funnel_topk"] = more.funnel_sql(BM25)
