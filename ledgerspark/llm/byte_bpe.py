@@ -4,9 +4,11 @@ New parts of texts (pieces.py) are cut by the pattern; pre-tokens that aren't to
 (word, position, token). The recursion joins neighbours with the merge table and contracts each word's leftmost pair
 of the lowest rank until none is left. A word's further pairs of that rank contract in the same step where the order
 can't matter: if no token that begins or ends with the pair's result ranks before it, no new pair can come first. An
-ordered aggregation gives ids; a second one, over the ids joined with the tokens' bytes, decodes them.
+ordered aggregation gives ids, and, over the ids joined with the tokens' bytes, decodes them, for each distinct
+pre-token once; a text's ids and bytes are those of its pre-tokens in order. decoded() decodes whole lists of ids.
 
-A null text is empty; null and repeated ids come back as they are.
+A null text is empty; null and repeated ids and repeated rows come back as they are. Texts may have any length. Other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -130,8 +132,15 @@ class Coder:
         self.memory = Memory(self.code_parts, MOST)
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """Each pre-token's number of ids, ids and decoded bytes, by the queries but for those that are tokens."""
-        out = [(1, b"%d" % self.ranks[w], w) if w in self.ranks else (0, b"", b"") for w in words]
+        """Each pre-token's number of ids, ids and decoded bytes. Those that are tokens need no merges; the bytes of all
+        come from their ids, by the ordered aggregation."""
+        out = [(0, b"", b"")] * len(words)
+        single = [i for i, w in enumerate(words) if w in self.ranks]
+        if single:
+            self.db.register("encoded_given", pa.table({"word": pa.array(single, pa.int64()), "pos": pa.array([0] * len(single), pa.int64()), "token": pa.array([self.ranks[words[i]] for i in single], pa.int32())}))
+            self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS SELECT * FROM encoded_given")
+            for w, n, ids, back in self.db.execute(AGGREGATE).fetchall():
+                out[w] = (n, ids.encode(), back)
         rest = [i for i, w in enumerate(words) if w and w not in self.ranks]
         for query, chosen in ((CONTRACT, [i for i in rest if len(words[i]) <= 64]), (CONTRACT_LONG, [i for i in rest if len(words[i]) > 64])):
             some: list[int] = []

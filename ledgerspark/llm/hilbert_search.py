@@ -8,9 +8,11 @@ curves find merges and is ranked by double-precision inner products of the origi
 
 `share` is a fraction, not a number of rows: vectors without any structure (as in the test tables: random directions in
 64 dimensions) have their neighbours spread over most of every curve. With 8 curves and 0.1, recall was 0.95 for
-10,256 and 0.96 for 51,282 such vectors, for windows that cover 0.8 of all pairs. On data with clusters a smaller one does.
+10,256 and 0.96 for 51,282 such vectors, for windows that cover 0.8 of all pairs; as pairs of several curves are computed
+again, that is 1.6 products for each of an exact search. On data with clusters a smaller share does.
 
-Nulls and the like: see vectors.clean. Rows that share a vec_id count as one candidate; nobody finds its own id.
+Nulls and the like: see vectors.clean. Rows that share a vec_id count as one candidate, with the best of their scores,
+however many there are; nobody finds its own id. Ties go to smaller ids. Columns beside vec_id and embedding aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ledgerspark.llm.common import partitions, stored
 from ledgerspark.llm.hilbert import hilbert
 from ledgerspark.llm.vectors import best, clean, merged, unpack
 
-CURVES, DIMS, BITS, SHARE, LEAST, BLOCK, SEED = 8, 3, 12, 0.1, 1024, 2048, 11
+CURVES, DIMS, BITS, SHARE, BLOCK, SEED = 8, 3, 12, 0.1, 2048, 11
 
 
 def directions(d: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
 
     size = rows.select("vec").mapInArrow(lengths, "most double, n long").agg(F.max("most").alias("most"), F.sum("n").alias("n")).first()
     radius, n = (size.most or 1.0) ** 0.5, size.n or 0
-    reach = max(LEAST, int(share * n))
+    reach = max(2 * k, int(share * n))
 
     def order(batches):
         for batch in batches:
@@ -119,11 +121,11 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
                     yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in some], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["curve", "block", "kind", "first", "ids", "vecs"])
 
     def compared(batches):
-        now, ids, ranks, data = None, None, None, None
+        now, ids, ranks, data, extra = None, None, None, None, None
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["curve"], r["block"]) != now:
-                    now, ids, ranks, data = (r["curve"], r["block"]), np.zeros(0, "<i8"), np.zeros(0, np.int64), np.zeros((0, d))
+                    now, ids, ranks, data, extra = (r["curve"], r["block"]), np.zeros(0, "<i8"), np.zeros(0, np.int64), np.zeros((0, d)), None
                 if not r["kind"]:
                     i = np.frombuffer(r["ids"], "<i8")
                     at = r["first"] + np.arange(len(i))
@@ -134,11 +136,14 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
                 asked = unpack([r["vecs"]], d)
                 rows = []
                 score = asked @ data.T
+                if extra is None:
+                    extra = len(ids) - len(np.unique(ids))
                 score[(ranks[None, :] < p[:, None] - reach) | (ranks[None, :] >= p[:, None] + reach) | (ids[None, :] == q[:, None])] = -np.inf
                 for i in range(len(q)):
                     s = score[i]
-                    if len(s) > k:  # all that may be among the k best; products by matrix may be off in the last bits
-                        least = np.partition(s, len(s) - k)[len(s) - k]
+                    some = k + extra  # as many as hold k different ids, however they repeat
+                    if len(s) > some:  # all that may be among the k best; products by matrix may be off in the last bits
+                        least = np.partition(s, len(s) - some)[len(s) - some]
                         at = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
                     else:
                         at = np.flatnonzero(s > -np.inf)

@@ -5,16 +5,18 @@ where both have MIN_CHARS characters or more, is one edit (insertion, deletion,
 the input, so the result doesn't depend on order. Blank lines stay.
 
 Equal lines meet by 128 bits of hash and keep their earliest place. Two lines one edit apart agree in the first or the
-last half, so keys of halves find the few lines that can have a partner: shared keys are counted exactly, a bitmap of
-them (2 ** 18 words of 64 bits at most, hence broadcast) leaves out the other lines before their text travels, and a
-second set of keys, of three quarters, thins out what is left. Those lines emit all variants with one character
-deleted as hashed keys: with the position, where equal variants mean a substitution, and without it, where a variant
-that equals a whole line means an insertion. A key needs only its earliest line, not all pairs, however many lines
-share it; levenshtein() verifies each pair found.
+last half, so keys of halves find the few lines that can have a partner: shared keys are counted exactly, and a bitmap of
+them (2 ** 18 words of 64 bits at most, hence broadcast) leaves out the other lines before their text travels. Of what is
+left, shared keys of halves, quarters and so on narrow down where the edit is, to FEW characters, so that very long
+lines need no more variants than short ones. Those lines emit all variants with one character deleted there as hashed
+keys: with the position, where equal variants mean a substitution, and without it, where a variant that equals a
+whole line means an insertion. A key needs only its earliest line, not all pairs, however many lines share it;
+levenshtein() verifies each pair found.
 
 Nulls: a null text has no lines. A row whose id is null keeps all its lines and removes none. Rows that share an id
-count as one document: lines at the same place in them don't remove each other. Columns beside doc_id and text are
-passed on unread by without_repeated_lines.
+count as one document: lines at the same place in them don't remove each other. Ties don't occur: places decide. Columns
+beside doc_id and text, whatever their names, are passed on unread by without_repeated_lines. The edit bound is 1, a
+fixed value.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import partitions, stored
+from ledgerspark.llm.common import fresh, partitions, stored
 
-MIN_CHARS, WORDS = 16, 1 << 18
+MIN_CHARS, WORDS, HOT, FEW = 16, 1 << 18, 1000, 32
 NO_BITS = 31
 
 
@@ -37,15 +39,21 @@ def _keys(line: str, n: str) -> dict[str, str]:
     return out
 
 
-def _quarter_keys(line: str, n: str) -> list[str]:
-    """Structs of key, lo, hi: what two lines share at both ends, and the positions that are left for the edit."""
-    out = []
-    for h in (f"(({n} - 1) div 2)", f"(({n} - 2) div 2)"):
-        q = f"({h} div 2)"
-        for kind, (front, back) in enumerate(((f"{h} + {q}", "0"), (h, f"{h} - {q}"), ("0", f"{h} + {q}"), (f"{h} - {q}", h))):
-            key = f"xxhash64({kind}, {h}, left({line}, cast({front} as int)), right({line}, cast({back} as int)))"
-            out.append(f"struct({key} as key, cast({front} + 1 as int) as lo, cast({n} - ({back}) as int) as hi)")
-    return out
+def _split(parts: str, line: str) -> str:
+    """SQL for an array of structs of key, s, f, b out of `parts`, an array of structs of s, f, b: two lines, the shorter of
+    s characters, that are one edit apart and agree in the first f and the last b characters, agree in half of the
+    others too, before or behind the edit. Where few characters are left, a part stays as it is."""
+    halves = "array(struct(p.s as s, p.f + (p.s - p.f - p.b) div 2 as f, p.b as b), struct(p.s as s, p.f as f, p.b + (p.s - p.f - p.b) div 2 as b))"
+    split = f"flatten(transform({parts}, p -> if(p.s - p.f - p.b > {FEW}, {halves}, array(p))))"
+    return f"transform({split}, p -> struct(xxhash64(p.s, p.f, p.b, left({line}, cast(p.f as int)), right({line}, cast(p.b as int))) as key, p.s as s, p.f as f, p.b as b))"
+
+
+def _narrowed(lines: DataFrame) -> DataFrame:
+    """The lines that share a half of one of their parts with another line, with those halves as parts."""
+    halves = lines.select("h1", "h2", F.explode(F.expr(_split("parts", "line"))).alias("q")).select("h1", "h2", "q.*").distinct()
+    shared = halves.groupBy("key").agg(F.count_distinct("h1", "h2").alias("c")).where("c > 1").select("key")
+    parts = halves.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("s", "f", "b")).alias("parts"))
+    return stored(lines.drop("parts").join(parts, ["h1", "h2"]))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,12 +80,16 @@ def near_lines(lines: DataFrame, unique: DataFrame) -> DataFrame:
     maybe = found.where(" or ".join(hit)).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min("line").alias("line"))
     maybe = stored(maybe.withColumn("n", F.length("line").cast("long")))
 
-    quarters = maybe.select("h1", "h2", F.explode(F.array(*map(F.expr, _quarter_keys("line", "n")))).alias("q")).select("h1", "h2", "q.*").distinct()
-    shared = quarters.groupBy("key").agg(F.count_distinct("h1", "h2").alias("c")).where("c > 1").select("key")
-    alive = stored(maybe.join(quarters.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")), ["h1", "h2"]))
+    # the shorter line of a pair has n or n - 1 characters; at first nothing is known of where they agree
+    alive = maybe.withColumn("parts", F.expr("transform(array(n, n - 1), s -> struct(s as s, 0L as f, 0L as b))"))
+    for _ in range(2):
+        alive = _narrowed(alive)
+    while alive.where(f"exists(parts, p -> p.s - p.f - p.b > {FEW})").limit(1).count():
+        alive = _narrowed(alive)
 
-    # a line makes hundreds of variants: small input, much work, so it's spread out by hand
-    cut = alive.repartition(partitions(lines), "h1").select("place", "line", F.explode(F.expr("array_distinct(flatten(transform(parts, p -> sequence(p.lo, p.hi))))")).alias("i")).select("place", F.explode(F.expr("array(struct(false as whole, xxhash64(0, i, left(line, i - 1), substr(line, i + 1)) as key), struct(false as whole, xxhash64(1, concat(left(line, i - 1), substr(line, i + 1))) as key))")).alias("v"))
+    # a line makes many variants: small input, much work, so it's spread out by hand
+    places = "array_distinct(flatten(transform(parts, p -> sequence(p.f + 1, n - p.b))))"
+    cut = alive.repartition(partitions(lines), "h1").select("place", "line", F.explode(F.expr(f"transform({places}, i -> cast(i as int))")).alias("i")).select("place", F.explode(F.expr("array(struct(false as whole, xxhash64(0, i, left(line, i - 1), substr(line, i + 1)) as key), struct(false as whole, xxhash64(1, concat(left(line, i - 1), substr(line, i + 1))) as key))")).alias("v"))
     # a substitution's key has its position in it; whole lines stand only among the keys without
     whole = alive.select("place", F.struct(F.lit(True).alias("whole"), F.xxhash64(F.lit(1), "line").alias("key")).alias("v"))
     variants = cut.union(whole).select("place", "v.whole", "v.key").distinct()
@@ -96,34 +108,43 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     unique = stored(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.max(F.expr(e)).alias(k) for k, e in _keys("line", "length(line)").items()), F.max(F.length("line")).alias("n")))
     near = near_lines(lines, unique).withColumn("near", F.lit(True))
     fate = unique.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near")
-    gone = lines.select("h1", "h2", "doc_id", "no", "place").join(fate, ["h1", "h2"]).where("near or place > first")
+    # a line that is more than a thousandth of all lines is dealt over several keys; there are under HOT of them
+    total = unique.agg(F.sum("times")).first()[0] or 0
+    shares = F.expr(f"cast(1 + (times * {HOT}) div {max(1, total)} as int)")
+    hot = unique.where(F.col("times") * HOT > total).select("h1", "h2", shares.alias("shares"))
+    salted = lines.select("h1", "h2", "doc_id", "no", "place").join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", F.expr("coalesce(pmod(xxhash64(place), shares), 0)")).drop("shares")
+    fate = fate.withColumn("salt", F.explode(F.expr(f"sequence(0L, (times * {HOT}) div {max(1, total)})")))
+    gone = salted.join(fate, ["h1", "h2", "salt"]).where("near or place > first")
     return gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+def _joined(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name comes back: the numbers of the lines that go."""
+    own, gone = fresh(docs, "gone_from", "gone_lines")
+    found = repeated_lines(docs).select(F.col("doc_id").alias(own), F.col("gone").alias(gone))
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left").drop(own), gone
 
 
-def _kept(text: str = "text") -> str:
-    """SQL for the text without its __gone lines."""
+def _kept(gone: str, text: str = "text") -> str:
+    """SQL for the text without its lines in `gone`."""
     # the array of one holds the split text, or it would be split again for each line
-    return f"transform(array(split({text}, '\\n')), s -> array_join(transform(array_except(sequence(0, size(s) - 1), __gone), i -> s[i]), '\\n'))[0]"
+    return f"transform(array(split(`{text}`, '\\n')), s -> array_join(transform(array_except(sequence(0, size(s) - 1), `{gone}`), i -> s[i]), '\\n'))[0]"
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for each row of docs. Blank lines count."""
-    rows = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    gone = F.coalesce(F.size("__gone"), F.lit(0))
+    rows, name = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = F.coalesce(F.size(name), F.lit(0))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.expr(_kept()))
+    kept = F.when(F.col(name).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.expr(_kept(name)))
     return rows.select("doc_id", lines.cast("long").alias("n_lines"), F.least(gone, lines).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs' rows and columns with repeated lines cut out of text; documents of which only blanks are left go."""
-    rows = _joined(docs).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(_kept())))
-    return rows.where(F.col("__gone").isNull() | (F.btrim(F.regexp_replace("text", r"\s+", " ")) != "")).drop("__gone")
+    rows, gone = _joined(docs)
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.expr(_kept(gone))))
+    return rows.where(F.col(gone).isNull() | (F.btrim(F.regexp_replace("text", r"\s+", " ")) != "")).drop(gone)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ table; what survives is counted. Merging all occurrences at once gives what the
 holds a merged symbol ranks after the merge that makes it, which is checked when the table is built.
 
 Special strings inside texts count as one token, as is the library's default. A null text is empty; null and repeated
-ids come back as they are.
+ids and repeated rows come back as they are. Texts may have any length. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -142,6 +142,30 @@ def test_lines(docs, empty, odd):
     assert kept.columns == docs.columns
 
 
+def test_lines_edits_and_lengths(spark, monkeypatch):
+    """Near lines of many lengths, very long ones too, with ties; and a line that is most of all lines, dealt over keys."""
+    rng = random.Random(9)
+    data = []
+    for i, n in enumerate([16, 17, 31, 33, 60, 64, 65, 100, 257, 1000, 5000, 20000]):
+        line = "".join(rng.choice("abc é") for _ in range(n)).strip().ljust(16, "x")
+        at = rng.randrange(len(line))
+        near = {0: line[:at] + "Z" + line[at:], 1: line[:at] + line[at + 1 :], 2: line[:at] + "Z" + line[at + 1 :]}[i % 3].strip(" ")
+        far = line[: at // 2] + "QQ" + line[at // 2 :]
+        data += [(3 * i, f"{line}\nsame for all of them"), (3 * i + 1, f"same for all of them\n{near}\n{near}"), (3 * i + 2, far)]
+    for hot in (1000, 2):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert got(line_dedup.line_dedup(frame(spark, data))) == sorted(line_dedup.brute_force(data), key=str)
+
+
+def test_clashing_names(spark):
+    """Other columns called as operators might call their own."""
+    t = " ".join(f"w{i}" for i in range(80))
+    names = ["__gone", "__id", "__spans", "__key", "gone_from", "gone_lines", "doc_number", "may_have", "span_id", "span_key", "spans_found", "text_was", "word", "bits", "lang_pred"]
+    docs = spark.createDataFrame([(1, t), (2, t + " more of it"), (3, "A line that repeats itself\nA line that repeats itself"), (4, t)], "doc_id long, text string").select("*", *(F.lit("x").alias(n) for n in names))
+    for kept in (line_dedup.without_repeated_lines(docs), substring_dedup.without_repeats(docs), minhash_dedup.one_of_each(docs), language_id.identified(docs.withColumn("lang", F.lit("en")), 0.0).drop("lang")):
+        assert kept.columns == docs.columns and kept.count() >= 2
+
+
 def test_packing(spark, docs, empty, odd):
     from tokenizers import Tokenizer
 
@@ -162,10 +186,22 @@ def test_packing(spark, docs, empty, odd):
             assert o == at
             at += n
         assert at <= 2048
+    assert len(bins) == plain_best_fit([r.length for r in out])
     assert packing.packed(empty, P.path(packing.NAME)).count() == 0
     assert packing.packed(odd, P.path(packing.NAME)).count() == 7
 
 
+def plain_best_fit(lengths, room=2048):
+    """How many sequences best fit needs, one piece after the other, longest first."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in free if r >= n]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else room) - n)
+    return len(free)
+
+
 def test_best_fit():
     rng = random.Random(2)
     for _ in range(100):
@@ -178,6 +214,7 @@ def test_best_fit():
                 ranks[n].add(r + i)
                 bins[s + i].append((o, n))
         assert all(ranks[n] == set(range(c)) for n, c in counts.items())
+        assert len(bins) == plain_best_fit([n for n, c in counts.items() for _ in range(c)], room)
         for b in bins.values():
             at = 0
             for o, n in sorted(b):
@@ -201,6 +238,28 @@ def test_substrings(docs, empty, odd):
     assert substring_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_without_repeats_keeps_white_space_and_drops_what_is_covered(spark):
+    t = [f"w{i}" for i in range(60)]
+    data = [(1, " ".join(t)), (2, "\n".join(t)), (3, "before\tit \n" + "\n".join(t) + "\n\nafter\tit"), (4, " \n"), (5, None)]
+    kept = {r.doc_id: r.text for r in substring_dedup.without_repeats(frame(spark, data)).collect()}
+    assert kept == {1: data[0][1], 3: "before\tit\n\nafter\tit", 4: " \n", 5: None}
+
+
+def test_one_window_in_all_documents(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    data = [(i, f"{passage} own{i} " + " ".join(f"{i}x{k}" for k in range(i % 7))) for i in range(300)]
+    assert got(substring_dedup.digest(frame(spark, data, 7))) == sorted(substring_dedup.brute_force(data), key=str)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(150_000))  # a megabyte
+    data = [(1, long), (2, "start " + long[: len(long) // 2]), (3, "short")]
+    assert got(substring_dedup.digest(frame(spark, data))) == sorted(substring_dedup.brute_force(data), key=str)
+    assert got(minhash_dedup.near_duplicates(frame(spark, data))) == sorted(minhash_dedup.brute_force(data), key=str)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digest(frame(spark, data)).collect()}[2] >= len(long) // 2 - 100
+
+
 ODD = ["", "a" * 500, "中" * 50, "x  y \n z\t\t", "it's <|endoftext|> a  <|endoftext|>", "é İ    　x", "\x1c \x85", "1234 !!! \U0001f600"]
 
 
@@ -277,6 +336,49 @@ def test_hilbert(spark):
     assert hilbert_search.nearest(df.limit(0)).count() == 0
 
 
+def test_hilbert_windows_recall(spark):
+    """More rows than a window holds."""
+    x = np.random.default_rng(8).standard_normal((3000, 16)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    s = x[::20] @ x.T
+    found = collections.defaultdict(set)
+    for r in hilbert_search.nearest(df).collect():
+        found[r.query_id].add(r.vec_id)
+    s[np.arange(len(s)), np.arange(0, 3000, 20)] = -np.inf
+    hits = sum(len(found[20 * i] & set(np.argsort(-s[i])[:20].tolist())) for i in range(len(s)))
+    assert hits >= 0.9 * 20 * len(s)
+
+
+def test_searches_with_repeated_ids_and_zeros(spark):
+    """Rows that share an id are one candidate, with the best score; op6 leaves zero vectors out, op8 doesn't."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x[100:112] = x[0] * 3 + rng.standard_normal((12, 8)).astype(np.float32) / 100
+    ids = list(range(400))
+    for i in range(100, 112):
+        ids[i] = 41
+    x[7] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in zip(ids, x)], "vec_id long, embedding array<float>").withColumn("query_id", F.lit(1)).withColumn("vec", F.lit(2))
+    exact = x.astype(np.float64)
+    for run, points, left_out in ((hilbert_search.nearest, exact, {7}), (mtree_search.top_k, np.floor(64 * exact), set())):
+        rows = collections.defaultdict(list)
+        for r in run(df).collect():
+            rows[r.query_id].append((r["rank"], r.vec_id, r.score))
+        for q in range(0, 400, 20):
+            if q == 100:
+                continue
+            best = {}
+            for i, e in zip(ids, points):
+                if i != q and i not in left_out:
+                    best[i] = max(best.get(i, -np.inf), float(points[q] @ e))
+            want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20]
+            have = sorted(rows[q])
+            assert len(have) == 20 and len({i for _, i, _ in have}) == 20
+            if run is mtree_search.top_k:
+                assert [(i, int(s)) for i, s in want] == [(i, s) for _, i, s in have]
+            assert have[0][1] == want[0][0] or run is hilbert_search.nearest
+
+
 def test_language(spark, sf, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -287,6 +389,23 @@ def test_language(spark, sf, empty):
     assert len(none) == 4 and all(r.lang_pred == "und" for r in none if r.doc_id)
 
 
+def test_language_brute_force(spark, sf):
+    """The whole model and every prediction, word by word, on real texts with repeats, clashes, long texts and none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120").select("doc_id", "text", "lang")
+    data = [tuple(r) for r in docs.collect()]
+    data += [(data[0][0], data[0][1], "xx"), (2000, None, "en"), (2001, "", None), (2002, "12 34", "en"), (2003, data[1][1] * 40, None), (None, data[2][1], "fr")]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in data], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    for most in (5, 1000):
+        chosen = [tuple(r) for r in language_id.sampled(df, most).collect()]
+        usable = [(lang, t) for i, t, lang in data if i is not None and lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+        count = collections.Counter(lang for lang, _ in usable)
+        assert collections.Counter(lang for lang, _ in chosen) == {k: min(most, n) for k, n in count.items()} and set(chosen) <= set(usable)
+        want = sorted(language_id.brute_force(data, chosen), key=str)
+        have = sorted(((r.doc_id, r.lang_pred, r.score) for r in language_id.language_id(df, most).collect()), key=str)
+        assert [w[:2] for w in want] == [h[:2] for h in have]
+        assert all(abs(w[2] - h[2]) < 1e-9 for w, h in zip(want, have, strict=True))
+
+
 def test_pipeline(spark, tmp_path):
     """run() against the operators' brute-force versions, stage after stage."""
     pipeline = pytest.importorskip("corpus_pipeline")
