@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerspark.shipping import ship
 
+LATE, REMEMBERED = "10 minutes", 3600  # rows that come later are dropped; seconds for which state is remembered
 BUDGET = "client string, at timestamp, tokens double, allowed boolean, left double"
 
 
@@ -31,7 +32,7 @@ def spend(rows: pd.DataFrame, left: float, last: float | None, rate: float, capa
 
 def budgeted(requests: DataFrame, rate: float = 100.0, capacity: float = 1000.0) -> DataFrame:
     """Requests of (client, at, tokens) with whether each client's bucket allows them. On a stream the bucket is state,
-    dropped after an hour; on a batch it's computed by client."""
+    dropped after an hour of the stream's time; on a batch it's computed by client."""
     ship(requests.sparkSession)
     rows = requests.select("client", "at", F.col("tokens").cast("double").alias("tokens"))
 
@@ -52,15 +53,16 @@ def budgeted(requests: DataFrame, rate: float = 100.0, capacity: float = 1000.0)
         pdf = pd.concat(batches).sort_values(["at", "tokens"], kind="stable")
         allowed, lefts, left, last = spend(pdf, left, last, rate, capacity)
         state.update((left, last))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(int(max(1000 * last, state.getCurrentWatermarkMs())) + 1000 * REMEMBERED)
         yield pdf.assign(allowed=allowed, left=lefts)
 
-    return rows.groupBy("client").applyInPandasWithState(step, BUDGET, "left double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = rows.withWatermark("at", LATE).groupBy("client")
+    return known.applyInPandasWithState(step, BUDGET, "left double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 JOB = "task_id string, status string, started_at double, finished_at double, error string"
-#: States that a job ends in, and for how long it's remembered.
-ENDED, REMEMBERED = ("done", "error"), 3600
+#: States that a job ends in.
+ENDED = ("done", "error")
 
 
 def merged(job: tuple | None, changes: pd.DataFrame) -> tuple:
@@ -80,8 +82,8 @@ def merged(job: tuple | None, changes: pd.DataFrame) -> tuple:
 
 
 def jobs(changes: DataFrame) -> DataFrame:
-    """A job's state after each micro-batch of changes (task_id, status, at, error); ended ones are forgotten after an hour
-    without news. On a batch, the last state of each."""
+    """A job's state after each micro-batch of changes (task_id, status, at, error); jobs are forgotten after an hour of
+    the stream's time without news. On a batch, the last state of each."""
     ship(changes.sparkSession)
     if not changes.isStreaming:
 
@@ -96,10 +98,11 @@ def jobs(changes: DataFrame) -> DataFrame:
             return
         job = merged(state.get if state.exists else None, pd.concat(batches).sort_values("at", kind="stable"))
         state.update(job)
-        state.setTimeoutDuration(REMEMBERED * 1000)
+        state.setTimeoutTimestamp(int(max(1000 * (job[2] or job[1]), state.getCurrentWatermarkMs())) + 1000 * REMEMBERED)
         yield pd.DataFrame([(key[0], *job)], columns=["task_id", "status", "started_at", "finished_at", "error"])
 
-    return changes.groupBy("task_id").applyInPandasWithState(step, JOB, "status string, started_at double, finished_at double, error string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    known = changes.withWatermark("at", LATE).groupBy("task_id")
+    return known.applyInPandasWithState(step, JOB, "status string, started_at double, finished_at double, error string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(requests: DataFrame, key: str, at: str = "at", within: str = "10 minutes") -> DataFrame:
