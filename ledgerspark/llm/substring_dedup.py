@@ -27,6 +27,7 @@ from ledgerspark.llm import sketch as cms
 from ledgerspark.llm.common import column, fresh, input_bytes, mix, partitions, release, run_hashes, runs, slices, stored, with_bits, with_key, word_bounds, word_hashes
 
 WORDS = 50
+FEW_SPANS = 16 << 20  # bytes of spans, as stored, up to which they are broadcast
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int, both: bool = False):
@@ -167,13 +168,17 @@ def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, found: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """docs' rows, all columns, with one more, whose name comes back: the spans, null where nothing goes. Only texts of
-    documents that may have spans, by a bitmap, go through a shuffle."""
+    """docs' rows, all columns, with one more, whose name comes back: the spans, null where nothing goes. Spans that take up
+    little room, which is measured, go to the texts; beyond that, texts of documents that may have spans, by a bitmap, go
+    through a shuffle."""
     found = stored(found)
     number, maybe, own, key, spans = fresh(docs, "doc_number", "may_have", "span_id", "span_key", "spans_found")
-    flagged = with_bits(docs.withColumn(number, F.col("doc_id").cast("long")), number, found.select(F.col("doc_id").alias(own)), maybe)
     right = found.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("spans").alias(spans))
     same = (F.col(number) == F.col(own)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(key))
+    if input_bytes(found) <= FEW_SPANS:
+        joined = docs.withColumn(number, F.col("doc_id").cast("long")).join(F.broadcast(right), same, "left")
+        return joined.select(*docs.columns, spans), spans
+    flagged = with_bits(docs.withColumn(number, F.col("doc_id").cast("long")), number, found.select(F.col("doc_id").alias(own)), maybe)
     hit = flagged.where(F.col(maybe)).join(right, same, "left").select(*docs.columns, spans)
     rest = flagged.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("binary").alias(spans))
     return hit.union(rest), spans

@@ -230,6 +230,14 @@ def test_suffixes(docs, empty, odd):
     assert len(out) == 7 and sum(r.n_removed > 0 for r in out) == 1
 
 
+def test_substrings_and_suffixes_with_many_spans(docs, odd, monkeypatch):
+    """Beyond the size up to which spans are broadcast."""
+    monkeypatch.setattr(substring_dedup, "FEW_SPANS", -1)
+    assert got(substring_dedup.digest(docs)) == sorted(substring_dedup.brute_force(rows()), key=str)
+    assert got(suffix_dedup.digest(docs)) == sorted(suffix_dedup.brute_force(rows()), key=str)
+    assert len(substring_dedup.digest(odd).collect()) == 7 and substring_dedup.without_repeats(docs).columns == docs.columns
+
+
 def test_substrings(docs, empty, odd):
     assert got(substring_dedup.digest(docs)) == sorted(substring_dedup.brute_force(rows()), key=str)
     assert got(substring_dedup.digest(empty)) == []
