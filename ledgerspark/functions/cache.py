@@ -1,0 +1,78 @@
+"""Answers that are kept for a while: a small fast level, a larger slow one, and likeness of questions as a third."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Hashable
+from dataclasses import dataclass, field
+
+from ledgerspark.functions.similarity import similarity
+
+PROMOTED = 10  # fixed value: hits after which an entry of the second level goes to the first
+
+
+@dataclass
+class Entry:
+    value: object
+    at: float
+    hits: int = 1
+
+
+@dataclass
+class Level:
+    """At most `size` entries, each for `ttl` seconds; the one with the fewest accesses for its age goes first."""
+
+    size: int
+    ttl: float
+    clock: Callable[[], float] = time.monotonic
+    held: dict[Hashable, Entry] = field(default_factory=dict)
+    evictions: int = 0
+
+    def get(self, key: Hashable) -> Entry | None:
+        entry = self.held.get(key)
+        if entry is not None and self.clock() - entry.at > self.ttl:
+            del self.held[key]
+            return None
+        if entry is not None:
+            entry.hits += 1
+        return entry
+
+    def put(self, key: Hashable, value: object) -> None:
+        if key not in self.held and len(self.held) >= self.size:
+            now = self.clock()
+            del self.held[min(self.held, key=lambda k: self.held[k].hits / (now - self.held[k].at + 1))]
+            self.evictions += 1
+        self.held[key] = Entry(value, self.clock())
+
+
+@dataclass
+class Cache:
+    """Values by dataset and question. A question that isn't held may have the answer of one that is nearly the same."""
+
+    first: Level = field(default_factory=lambda: Level(1000, 300))
+    second: Level = field(default_factory=lambda: Level(10_000, 3600))
+    alike: float = 0.95
+    hits: int = 0
+    misses: int = 0
+
+    def get(self, dataset: str, question: str) -> object | None:
+        key = (dataset, " ".join(question.lower().split()))
+        entry = self.first.get(key)
+        if entry is None and (entry := self.second.get(key)) is not None and entry.hits >= PROMOTED:
+            self.first.put(key, entry.value)
+        if entry is None and self.alike < 1:
+            near = [(similarity(key[1], q), q) for d, q in self.first.held if d == dataset]
+            score, q = max(near, default=(0.0, ""))
+            # one question inside another isn't the same question
+            entry = self.first.get((dataset, q)) if score >= self.alike and key[1] not in q and q not in key[1] else None
+        self.hits, self.misses = self.hits + (entry is not None), self.misses + (entry is None)
+        return None if entry is None else entry.value
+
+    def put(self, dataset: str, question: str, value: object) -> None:
+        key = (dataset, " ".join(question.lower().split()))
+        self.first.put(key, value)
+        self.second.put(key, value)
+
+    def rates(self) -> dict:
+        n = self.hits + self.misses
+        return {"hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / n, 3) if n else 0.0, "evictions": self.first.evictions + self.second.evictions}

@@ -296,6 +296,15 @@ def packed_to_budget(items: DataFrame, budget: int, at_once: int = 1000) -> Data
             return state.select("group", "ids", "used")
 
 
+def context(found: DataFrame, tokens: int = 2000, joint: str = "\n\n---\n\n") -> DataFrame:
+    """context, used: the best of what a search found (doc_id, text, score), as many as fit, best first, as one text for a
+    model; four characters count as a token."""
+    rows = found.select(F.lit(0).alias("group"), "doc_id", "text", F.col("score").cast("double").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "doc_id")))
+    picked = packed_to_budget(rows.select("group", "rank", F.col("rank").alias("id"), F.length("text").alias("size")), 4 * tokens)
+    kept = picked.select("group", "used", F.explode("ids").alias("rank")).join(rows, ["group", "rank"])
+    return kept.groupBy("group", "used").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["text"]), joint).alias("context"), "used")
+
+
 def content_type(text: Column) -> Column:
     """`table` if the first ten lines show more than three signs of columns, else `prose`."""
     lines = F.slice(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), "\n"), 1, 10)

@@ -269,6 +269,12 @@ def test_retrieval(spark):
         assert packed == {"g": ([0, 2, 4], 100), "h": ([], 0)}
 
 
+def test_context(spark):
+    found = spark.createDataFrame([(1, "a" * 30, 0.2), (2, "b" * 20, 0.9), (3, "c" * 18, 0.5)], "doc_id long, text string, score double")
+    row = text.context(found, 10, "|").first()
+    assert row.context == "b" * 20 + "|" + "c" * 18 and row.used == 38 and text.context(found.limit(0)).count() == 0
+
+
 def test_chunks(spark):
     rows = ["h | i"] + [f"{'x' * 90} | {i}" for i in range(12)]
     docs = spark.createDataFrame([(1, "\n".join(rows)), (2, "\n\n".join(["p" * 300] * 4)), (3, "short"), (4, None)], "doc_id long, text string")

@@ -1,0 +1,40 @@
+import time
+
+from ledgerspark.functions.cache import Cache, Level
+from ledgerspark.plans.router import Router, keyword_intent
+
+
+def test_router():
+    r = Router()
+    got = r.route("Calculate total revenue for FY23")
+    assert got.track == "TRACK_DATA" and got.confidence >= 0.8 and r.route("calculate total revenue for fy23 ") is got
+    assert r.route("Calculate total revenue for FY23", False).track != "TRACK_DATA"
+    assert r.route("tell me a joke").track == "TRACK_OUT_OF_DOMAIN" and r.route("hmm").method == "default"
+    assert r.route("what does the polcy say").track == "TRACK_DOC" and Router(model=lambda q: "TRACK_WEB").route("hmm").method == "model"
+    assert keyword_intent("sum and total of it") == "CALCULATION" and keyword_intent("recipe for a total") is None and keyword_intent("") is None
+    assert abs(sum(r.rates().values()) - 1) < 0.01
+    start = time.perf_counter()
+    for _ in range(100):
+        r.route("Calculate total revenue for FY23")
+    assert (time.perf_counter() - start) / 100 < 0.01
+    for i in range(1100):
+        r.route(f"zz{i} sum total")
+    assert len(r.held) <= 1000
+
+
+def test_cache():
+    now = [0.0]
+    c = Cache(Level(2, 10, lambda: now[0]), Level(5, 100, lambda: now[0]))
+    c.put("d", "What is  the total?", 1)
+    assert c.get("d", "what is the total?") == 1 and c.get("e", "what is the total?") is None
+    assert c.get("d", "what is the totall?") == 1 and c.get("d", "something else") is None
+    now[0] = 50
+    assert c.get("d", "what is the total?") == 1 and not c.first.held
+    for _ in range(10):
+        c.get("d", "what is the total?")
+    assert c.first.held
+    now[0] = 500
+    assert c.get("d", "what is the total?") is None
+    for i in range(4):
+        c.put("d", f"q{i}", i)
+    assert len(c.first.held) == 2 and c.first.evictions == 2 and c.rates()["hits"] >= 13
