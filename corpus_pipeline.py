@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. run() writes each stage to the shared folder and reads it again for the next one.
+
+For every stage: an empty table gives an empty one. Null and empty texts go at the first stage. A row without an id is
+judged by its language, keeps its lines and words, has no near duplicates and is packed. Rows that share an id count as
+one document and don't remove each other's text; rows that repeat as a whole stay together until packing gives each its
+own place. Ties go to smaller ids, then to earlier lines. Texts may have any length. Other columns are passed on up to
+packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +38,8 @@ def by_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_passage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in 50-word windows that a smaller document has too go; so do documents of which nothing is left."""
-    return substring_dedup.without_repeats(docs).where("text <> ''")
+    """Words in 50-word windows that a smaller document has too go; so do documents of which no word is left."""
+    return substring_dedup.without_repeats(docs)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
