@@ -48,3 +48,16 @@ def test_all_documents_and_totals(spark, tmp_path):
     for r in pipeline.run(spark, str(tmp_path)).collect():
         got[r.doc_id] += r.length
     assert dict(got) == want
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """An empty table; and rows without ids, without texts, repeated, with columns called as operators call theirs."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, spans_found string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    text = "the house and the garden of the old town are here for all of us to see every day"
+    data = [(i, text if i % 2 else text + " " + " ".join(f"more{i}x{k} and the" for k in range(20)), "en") for i in range(1, 9)]
+    data += [(None, "the house and the garden", "en"), (20, None, "en"), (21, "", None), (22, "12 34", "en"), (3, text, "en"), (3, text, "en")]
+    spark.createDataFrame([(*r, "s", 0, "c", "x") for r in data], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    ids = [r.doc_id for r in pipeline.run(spark, f"{tmp_path}/b").collect()]
+    assert {2, 4, 6, 8, None} <= set(ids) and not {20, 21, 22} & set(ids) and len({1, 3, 5, 7} & set(ids)) == 1
