@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import byte_bpe, hilbert_search, language_id, line_dedup, minhash_dedup, mtree_search, packing, substring_dedup, suffix_dedup, token_counts
+from ledgerspark.llm import byte_bpe, grouped_ranking, hilbert_search, language_id, line_dedup, minhash_dedup, mtree_search, packing, substring_dedup, suffix_dedup, token_counts
 from ledgerspark.llm.common import table
 
 
@@ -56,5 +56,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(token_counts.NAME))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_byte_bpe, op6_hilbert_search, op7_language_id, op8_mtree_search, op9_substring_dedup, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op8_mtree_search": mtree_search.SQL}
+def op11_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_ranking.ranked_lines(table(spark, sf_dir, "sale_lines"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_byte_bpe, op6_hilbert_search, op7_language_id, op8_mtree_search, op9_substring_dedup, op10_token_counts, op11_grouped_ranking)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op8_mtree_search": mtree_search.SQL, "op11_grouped_ranking": grouped_ranking.SQL}
