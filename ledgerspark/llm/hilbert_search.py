@@ -11,12 +11,18 @@ curves find merges and is ranked by double-precision inner products of the origi
 10,256 and 0.96 for 51,282 such vectors, for windows that cover 0.8 of all pairs; as pairs of several curves are computed
 again, that is 1.6 products for each of an exact search. On data with clusters a smaller share does.
 
+Where a vector's largest component is beyond 2 ** 500 or below 2 ** -500, rows are worked on divided by one power of two and
+each query by its own, so that nothing overflows on the way; components below 2 ** -1000 of the largest of all count as zero
+then, and a score that no double can hold is infinite, in its right place.
+
 Nulls and the like: see vectors.clean. Rows that share a vec_id count as one candidate, with the best of their scores,
 however many there are; nobody finds its own id. Ties go to smaller ids. Columns beside vec_id and embedding aren't read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,32 +52,45 @@ def keys(points: np.ndarray, radius: float, curve: int) -> np.ndarray:
 def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, curves: int = CURVES, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score."""
     vectors, d = clean(table, zero=False)
-    rows = stored(vectors.withColumn("asks", F.expr(is_query)))
+
+    def topped(batches):
+        for batch in batches:
+            x = unpack(batch.column(1).to_pylist(), d)
+            power = np.frexp(np.abs(x).max(1) if len(x) else np.zeros(0))[1] - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(power.astype(np.int32))], ["vec_id", "vec", "power"])
+
+    rows = stored(vectors.mapInArrow(topped, "vec_id long, vec binary, power int").withColumn("asks", F.expr(is_query)))
+
+    size = rows.agg(F.max("power").alias("high"), F.min("power").alias("low"), F.count("*").alias("n")).first()
+    n, odd = size.n or 0, size.n and (size.low < -500 or size.high >= 500)
+    scale = 2.0**size.high if odd else 1.0
 
     def lengths(batches):
         for batch in batches:
-            x = unpack(batch.column(0).to_pylist(), d)
-            yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(1).max()) if len(x) else 0.0]), pa.array([len(x)], pa.int64())], ["most", "n"])
+            x = unpack(batch.column(0).to_pylist(), d) / scale
+            yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(1).max()) if len(x) else 0.0])], ["most"])
 
-    size = rows.select("vec").mapInArrow(lengths, "most double, n long").agg(F.max("most").alias("most"), F.sum("n").alias("n")).first()
-    radius, n = (size.most or 1.0) ** 0.5, size.n or 0
+    radius = (rows.select("vec").mapInArrow(lengths, "most double").agg(F.max("most")).first()[0] or 1.0) ** 0.5
     reach = max(2 * k, int(share * n))
 
     def order(batches):
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), unpack(batch.column(1).to_pylist(), d)
+            ids, given = batch.column(0).to_numpy(), unpack(batch.column(1).to_pylist(), d)
+            x = given / scale
             if not len(x):
                 continue
             asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            norm = (x * x).sum(1)
-            lifted = np.hstack([x, np.sqrt(np.maximum(0, radius * radius - norm))[:, None]])
-            asked = np.hstack([x[asks] * (radius / np.sqrt(norm[asks]))[:, None], np.zeros((int(asks.sum()), 1))])
+            own = np.ldexp(given, -batch.column(3).to_numpy()[:, None]) if odd else x
+            norm = (own * own).sum(1)
+            lifted = np.hstack([x, np.sqrt(np.maximum(0, radius * radius - (x * x).sum(1)))[:, None]])
+            asked = np.hstack([own[asks] * (radius / np.sqrt(norm[asks]))[:, None], np.zeros((int(asks.sum()), 1))])
+            packed = [pa.array([v.tobytes() for v in side], pa.binary()) for side in (own, x)] if odd else [batch.column(1)] * 2
             for c in range(curves):
                 for points, who, kind in ((lifted, np.arange(len(x)), 1), (asked, np.flatnonzero(asks), 0)):
                     if len(who):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), c, np.int32)), pa.array(keys(points, radius, c)), pa.array(np.full(len(who), kind, np.int32)), pa.array(ids[who]), batch.column(1).take(pa.array(who))], ["curve", "key", "kind", "vec_id", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), c, np.int32)), pa.array(keys(points, radius, c)), pa.array(np.full(len(who), kind, np.int32)), pa.array(ids[who]), packed[kind].take(pa.array(who))], ["curve", "key", "kind", "vec_id", "vec"])
 
-    ordered = rows.select("vec_id", "vec", "asks").mapInArrow(order, "curve int, key long, kind int, vec_id long, vec binary")
+    ordered = rows.select("vec_id", "vec", "asks", "power").mapInArrow(order, "curve int, key long, kind int, vec_id long, vec binary")
     ordered = ordered.repartitionByRange(max(partitions(rows), curves), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id", "kind")
 
     def chunked(batches):
@@ -136,6 +155,7 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
                 asked = unpack([r["vecs"]], d)
                 rows = []
                 score = asked @ data.T
+                slack = 1e-12 * radius * np.sqrt((asked * asked).sum(1))
                 if extra is None:
                     extra = len(ids) - len(np.unique(ids))
                 score[(ranks[None, :] < p[:, None] - reach) | (ranks[None, :] >= p[:, None] + reach) | (ids[None, :] == q[:, None])] = -np.inf
@@ -144,7 +164,7 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
                     some = k + extra  # as many as hold k different ids, however they repeat
                     if len(s) > some:  # all that may be among the k best; products by matrix may be off in the last bits
                         least = np.partition(s, len(s) - some)[len(s) - some]
-                        at = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
+                        at = np.flatnonzero((s >= least - slack[i]) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
                     else:
                         at = np.flatnonzero(s > -np.inf)
                     exact = (data[at] * asked[i]).sum(1)
@@ -156,4 +176,9 @@ def nearest(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, cu
 
     sent = placed.mapInArrow(dealt, "curve int, block long, kind int, first long, ids binary, vecs binary")
     blocks = sent.repartition(max(partitions(rows), 4 * curves), "curve", "block").sortWithinPartitions("curve", "block", "kind", "first")
-    return merged(blocks.mapInArrow(compared, "query_id long, ids binary, scores binary"), k, "double")
+    found = merged(blocks.mapInArrow(compared, "query_id long, ids binary, scores binary"), k, "double")
+    if not odd:
+        return found
+    powers = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("power").alias("power"))
+    # in two steps, either of which may be near the largest double
+    return found.join(powers, "query_id").select("query_id", "rank", "vec_id", (F.col("score") * F.pow(F.lit(2.0), "power") * F.lit(scale)).alias("score"))

@@ -6,8 +6,9 @@ shard's task builds one M-tree: pages of up to PAGE entries, each entry with its
 page with its covering radius. Queries come to every shard, in blocks, and a block searches it best first: pages wait in
 a queue by the least distance they allow to a query of the block; stored parent distances leave out queries and entries
 by the triangle inequality before any product is computed; a page is opened only for the queries whose k-th best it can
-still beat, all their products at once. Scores are exact integers. The shards'
-best lists merge.
+still beat, all their products at once. Scores are exact integers, in doubles below 2 ** 53 and in longs beyond; squared
+lengths of 2 ** 63 or more, whose scores no long need hold, are refused with an ArithmeticError. The shards' best lists
+merge.
 
 Nulls and the like: see vectors.clean; zero vectors take part. Rows that share a vec_id count as one candidate with
 its best score; nobody finds its own id. Ties go to smaller ids.
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import runs, stored
-from ledgerspark.llm.vectors import clean, merged, unpack
+from ledgerspark.llm.vectors import clean, longest, merged, products, unpack
 
 SCALE, SHARD, PAGE, ASKED = 64, 8192, 256, 1024
-SLACK = 1e-6  # of a distance, relative: what doubles may be off
+SLACK = 1e-6  # of the sphere's radius: what distances in doubles may be off
+LEAST = np.iinfo(np.int64).min
 
 
 class Page:
@@ -77,7 +79,8 @@ class Tree:
         q = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
         square = (q * q).sum(1) + self.most
         limit = np.full(len(q), np.inf)  # distances beyond which nothing can be among the k best
-        floor = np.full(len(q), -np.inf)  # the k-th best scores
+        floor = np.full(len(q), LEAST)  # the k-th best scores
+        slack = SLACK * (1 + np.sqrt(square))
         top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def distance(p: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,21 +109,21 @@ class Tree:
             rows = page.rows[(page.far >= d.min() - reach) & (page.far <= d.max() + reach)]
             if not len(rows):
                 continue
-            got = np.rint(q[at, :-1] @ self.exact[rows].T)  # sums of integers far below 2 ** 53
+            got = products(q[at, :-1], self.exact[rows], self.most)
             ids = self.ids[rows]
-            got[own[at][:, None] == ids[None, :]] = -np.inf
+            got[own[at][:, None] == ids[None, :]] = LEAST
             least = floor[at]
             if self.distinct and len(rows) > k:
                 least = np.maximum(least, np.partition(got, len(rows) - k, 1)[:, len(rows) - k])
-            i, j = np.nonzero((got >= least[:, None]) & (got > -np.inf))
+            i, j = np.nonzero((got >= least[:, None]) & (got > LEAST))
             if not len(i):
                 continue
-            new = (at[i], ids[j], got[i, j].astype(np.int64))
+            new = (at[i], ids[j], got[i, j])
             top = leading(*(np.concatenate(x) for x in zip(top, new, strict=True)), k)
             first = np.searchsorted(top[0], every)
             full = np.searchsorted(top[0], every, "right") - first == k
             floor[full] = top[2][first[full] + k - 1]
-            limit[full] = np.sqrt(np.maximum(0.0, square[full] - 2.0 * floor[full])) * (1 + SLACK) + SLACK
+            limit[full] = np.sqrt(np.maximum(0.0, square[full] - 2.0 * floor[full])) + slack[full]
         return top
 
 
@@ -143,11 +146,13 @@ def top_k(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, scal
     def whole(batches):
         for batch in batches:
             x = np.floor(unpack(batch.column(1).to_pylist(), d) * scale)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array((x * x).sum(1))], ["vec_id", "vec", "square"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(longest(x))], ["vec_id", "vec", "square"])
 
     rows = stored(vectors.mapInArrow(whole, "vec_id long, vec binary, square double").withColumn("asks", F.expr(is_query)))
     size = rows.agg(F.max("square").alias("most"), F.count("*").alias("n")).first()
     shards, most = max(1, -(-size.n // SHARD)), float(size.most or 0.0)
+    if most >= 2.0**63:
+        raise ArithmeticError(f"scores of vectors of squared length {most:g} don't fit a long")
 
     def packed(batches):
         """Queries in blocks, to cut the number of rows that go to every shard."""

@@ -13,7 +13,7 @@ miss all annuli that still lack rows stay closed. Distances only decide what is
 and windows are exact integers. The shards' best rows merge by rank.
 
 Rows with a null id, label or vector, with a null or non-finite component, or with another length than the most common one
-take no part; zero vectors do. Of rows that share an id, the one with the largest label, then the largest vector, counts.
+take no part; zero vectors do. Of such rows that share an id, the one with the largest label, then the largest vector as bytes, counts.
 Ties go to smaller ids. An anchor without positives or without rows in its windows has no rows. An empty table gives an
 empty result. Squared lengths, and so scores, must fit a long: else an ArithmeticError says so. Other columns are unread.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import runs, stored
 from ledgerspark.llm.vectors import clean, longest, products, unpack
 
-SCALE, SAMPLE, CELLS, SHARD, LEAF = 256, 4096, 256, 8192, 128
+SCALE, SAMPLE, CELLS, SHARD, LEAF = 256, 4096, 256, 4096, 512
 SLACK = 1e-6  # of the sphere's radius: what distances in doubles may be off
 FEWEST, MOST = -(1 << 63), (1 << 63) - 1
 DEALT = "shard int, kind int, vec_id long, label long, vec binary, names array<long>, marks array<long>, lows array<long>, highs array<long>"
@@ -209,8 +209,8 @@ def mined(table: DataFrame, is_anchor: str = "vec_id % 100 = 0", positives: int
     nearest other rows of its label, the k nearest rows of other labels that score from low to high percent of that
     positive. table: vec_id, embedding, label."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("label is not null")
-    rows = rows.groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.label", "r.embedding")
     vectors, d = clean(rows, zero=True, beside=("label",))
+    vectors = vectors.groupBy("vec_id").agg(F.max(F.struct("label", "vec")).alias("r")).select("vec_id", "r.vec", "r.label")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
