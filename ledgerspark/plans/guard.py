@@ -71,52 +71,96 @@ def sanitized(sql: str) -> str:
     return sql
 
 
+#: Catalyst's nodes of a statement that only reads; all others (commands, scripts, names made by expressions) are
+#: refused, and so are the functions that call Java, and functions of tables but these.
+READING = {
+    "Project", "Filter", "UnresolvedHaving", "Aggregate", "Distinct", "Deduplicate", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Tail",
+    "Join", "LateralJoin", "AsOfJoin", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "WithWindowDefinition",
+    "Generate", "Expand", "Pivot", "Unpivot", "UnpivotTransformer", "Sample", "UnresolvedHint", "View", "ResolvedInlineTable", "UnresolvedInlineTable",
+    "OneRowRelation", "OneRowRelation$", "LocalRelation", "UnresolvedRelation", "UnresolvedTableValuedFunction", "RelationTimeTravel", "UnresolvedTVFAliases",
+}
+CALLING = {"reflect", "java_method", "try_reflect"}
+OF_TABLES = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"}
+
+
 def check(spark: SparkSession, sql: str, tables: set[str]) -> str:
-    """The statement, if it may run. tables: the relations that it may read; files and functions of tables but range are
-    none of them. The names of common table expressions are the statement's own, as the parser sees them."""
+    """The statement, if it may run. tables: the relations that it may read, names of one or more parts; files are none of
+    them. A name of one part is a common table expression where one of that name is in scope: behind it in the same WITH,
+    in that WITH's statement and in what is nested in these, and in its own definition only if that is a recursive union. It
+    never stands for a name of more parts."""
     sql = sanitized(sql)
+    parser = spark._jsparkSession.sessionState().sqlParser()
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"^\s*explain\s+", "", sql, flags=re.I))
+        plan = parser.parsePlan(re.sub(r"^\s*explain\s+((extended|codegen|cost|formatted)\s+)?", "", sql, flags=re.I))
+        known = {_folded(spark, _each(parser.parseMultipartIdentifier(t))) for t in tables}
     except ParseException as e:
         raise Refused(f"not SQL: {e.getCondition()}") from e
-    read, own, made = _relations(plan)
-    unknown = read - own - {t.lower() for t in tables}
-    if unknown:
-        raise Refused(f"unknown tables: {', '.join(sorted(unknown))}")
-    if made - {"range", "explode", "posexplode", "inline", "stack"}:
-        raise Refused(f"functions of tables: {', '.join(sorted(made))}")
+    read: set[tuple[str, ...]] = set()
+    _walk(spark, plan, frozenset(), read)
+    if unknown := read - known:
+        raise Refused(f"unknown tables: {', '.join(sorted('.'.join(t) for t in unknown))}")
     return sql
 
 
-def _relations(plan) -> tuple[set[str], set[str], set[str]]:
-    """Relations that a parsed plan reads, its common table expressions, and its functions of tables."""
-    read, own, made = set(), set(), set()
-
-    def each(seq):
-        it = seq.iterator()
-        while it.hasNext():
-            yield it.next()
-
-    def walk(node) -> None:
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            read.add(".".join(each(node.multipartIdentifier())).lower())
-        elif kind == "UnresolvedTableValuedFunction":
-            made.add(".".join(each(node.name())).lower())
-        elif kind == "UnresolvedWith":
-            for pair in each(node.cteRelations()):
-                own.add(str(pair.productElement(0)).lower())
-                walk(pair.productElement(1))
-        for child in each(node.children()):
-            walk(child)
-        for sub in each(node.subqueries()):
-            walk(sub)
-        for inner in each(node.innerChildren()):
-            if hasattr(inner, "subqueries") and kind == "UnresolvedWith":
-                walk(inner)
-
-    walk(plan)
-    return read, own, made
+def relations(spark: SparkSession, sql: str) -> set[tuple[str, ...]]:
+    """The relations that a statement reads, as parts of names, without its common table expressions."""
+    read: set[tuple[str, ...]] = set()
+    _walk(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(), read)
+    return read
+
+
+def _each(seq) -> list:
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _folded(spark: SparkSession, parts: list[str]) -> tuple[str, ...]:
+    """Names as the session compares them."""
+    return tuple(parts) if spark.conf.get("spark.sql.caseSensitive") == "true" else tuple(p.lower() for p in parts)
+
+
+def _walk(spark: SparkSession, node, scope: frozenset[str], read: set[tuple[str, ...]]) -> None:
+    """Adds what a parsed plan reads. scope: the common table expressions that are visible at this node."""
+    kind = node.getClass().getSimpleName()
+    if kind not in READING:
+        raise Refused(f"not a statement that only reads: {kind}")
+    for e in _each(node.expressions()):
+        _expression(e)
+    if kind == "UnresolvedRelation":
+        parts = _folded(spark, _each(node.multipartIdentifier()))
+        if len(parts) > 1 or parts[0] not in scope:
+            read.add(parts)
+    elif kind == "RelationTimeTravel":
+        _walk(spark, node.relation(), frozenset(), read)
+    elif kind == "UnresolvedTableValuedFunction" and ".".join(_each(node.name())).lower() not in OF_TABLES:
+        raise Refused(f"a function of tables: {'.'.join(_each(node.name()))}")
+    elif kind == "UnresolvedWith":
+        for pair in _each(node.cteRelations()):
+            name, made = _folded(spark, [str(pair.productElement(0))])[0], pair.productElement(1)
+            _walk(spark, made, scope | {name} if node.allowRecursion() and _is_union(made) else scope, read)
+            scope |= {name}
+    for inner in [*_each(node.children()), *_each(node.subqueries())]:
+        _walk(spark, inner, scope, read)
+
+
+def _is_union(node) -> bool:
+    """Whether a definition adds rows to a first step, as recursion does."""
+    while node.getClass().getSimpleName() in ("SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "Union"
+
+
+def _expression(e) -> None:
+    """Refuses functions that call Java, and generators that aren't known, in an expression."""
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction" and _each(e.nameParts())[-1].lower() in CALLING:
+        raise Refused(f"a function that calls Java: {_each(e.nameParts())[-1]}")
+    if kind == "UnresolvedGenerator" and e.name().funcName().lower() not in OF_TABLES:
+        raise Refused(f"a function of tables: {e.name().funcName()}")
+    for inner in _each(e.children()):
+        _expression(inner)
 
 
 def run(spark: SparkSession, sql: str, tables: set[str], retries: int = 3) -> DataFrame:
@@ -135,7 +179,8 @@ def run(spark: SparkSession, sql: str, tables: set[str], retries: int = 3) -> Da
             if not left or e.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION" or not offered:
                 raise
             best = next((p for p in offered if p == f"col_{name}"), None) or next((p for p in offered if name.lower() in p.lower()), offered[0])
-            sql = re.sub(rf"(?<!\w)`?{re.escape(name)}`?(?!\w)", f"`{best}`", sql)
+            quoted = "`" + best.replace("`", "``") + "`"
+            sql = check(spark, re.sub(rf"(?<!\w)`?{re.escape(name)}`?(?!\w)", lambda _, q=quoted: q, sql), tables)
     raise AssertionError
 
 

@@ -151,6 +151,91 @@ def test_guard(spark):
     assert guard.number(spark.sql("SELECT sum(revenue) FROM data")) == 2.0 and guard.scalar(spark.sql("SELECT 1 WHERE false")) is None
 
 
+@pytest.fixture
+def views(spark):
+    for name in ("mine", "secret", "other"):
+        spark.createDataFrame([(1, name)], "id int, v string").createOrReplaceTempView(name)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM secret WHERE id IN (WITH secret AS (SELECT 1 AS id) SELECT id FROM secret)",
+        "WITH `parquet./root/x` AS (SELECT 1 AS x) SELECT * FROM parquet.`/root/x`",
+        "WITH RECURSIVE secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a",
+        "WITH a AS (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) x, secret",
+        "SELECT * FROM mine UNION ALL (WITH a AS (SELECT * FROM secret) SELECT * FROM a)",
+        "SELECT (SELECT max(id) FROM secret) FROM mine",
+        "SELECT * FROM mine WHERE EXISTS (SELECT 1 FROM secret WHERE secret.id = mine.id)",
+        "SELECT * FROM mine, LATERAL (SELECT * FROM secret WHERE secret.id = mine.id)",
+        "SELECT * FROM mine ORDER BY (SELECT max(id) FROM secret)",
+        "SELECT * FROM default.mine",
+        "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+        "SELECT * FROM secret TIMESTAMP AS OF '2024-01-01'",
+        "SELECT TRANSFORM(v) USING 'cat' AS (v) FROM mine",
+        "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM mine",
+        "SELECT id FROM mine WHERE java_method('java.util.UUID', 'randomUUID') IS NOT NULL",
+        "SELECT * FROM sql_keywords()",
+        "SELECT * FROM csv.`/etc/passwd`",
+        "WITH t.x AS (SELECT 1) SELECT * FROM t.x",
+        "EXPLAIN EXTENDED SELECT * FROM secret",
+        "WITH a AS (SELECT 1 AS x) FROM a INSERT INTO mine SELECT *",
+    ],
+)
+def test_guard_scopes_refused(spark, views, sql):
+    with pytest.raises(guard.Refused):
+        guard.check(spark, sql, {"mine"})
+
+
+@pytest.mark.parametrize(
+    ("sql", "n"),
+    [
+        ("WITH a AS (SELECT * FROM mine), b AS (SELECT * FROM a) SELECT * FROM b JOIN a USING (id)", 1),
+        ("WITH secret AS (SELECT * FROM mine) SELECT * FROM secret", 1),
+        ("WITH a AS (WITH b AS (SELECT * FROM mine) SELECT * FROM b) SELECT * FROM a", 1),
+        ("WITH a AS (SELECT * FROM mine) SELECT * FROM (WITH a AS (SELECT 2 AS id) SELECT * FROM a)", 1),
+        ("WITH a AS (SELECT * FROM mine) SELECT * FROM mine WHERE id IN (SELECT id FROM a)", 1),
+        ("WITH mine AS (SELECT * FROM mine) SELECT * FROM mine", 1),
+        ("WITH A AS (SELECT * FROM MINE) SELECT count(*) FROM a HAVING count(*) > 0", 1),
+        ("WITH RECURSIVE n AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM n WHERE x < 3) SELECT * FROM n", 3),
+        ("SELECT m.id, x FROM mine m LATERAL VIEW explode(array(1, 2)) AS x", 2),
+        ("SELECT * FROM mine, LATERAL (SELECT mine.id + 1 AS y)", 1),
+        ("SELECT * FROM mine PIVOT (count(v) FOR id IN (1, 2))", 1),
+        ("SELECT row_number() OVER w FROM mine WINDOW w AS (PARTITION BY id ORDER BY v)", 1),
+        ("SELECT DISTINCT id FROM mine UNION SELECT 2 EXCEPT SELECT 5 ORDER BY 1 LIMIT 5 OFFSET 0", 2),
+        ("SELECT * FROM range(3) r JOIN VALUES (1), (2) v(id) USING (id)", 2),
+        ("SELECT id, sum(id) FROM mine GROUP BY ROLLUP (id)", 2),
+        ("SELECT /*+ BROADCAST(mine) */ * FROM mine TABLESAMPLE (100 PERCENT)", 1),
+        ("SELECT * FROM mine UNPIVOT (value FOR name IN (id))", 1),
+        ("SELECT * FROM (SELECT * FROM `mine`) AS x(a, b)", 1),
+    ],
+)
+def test_guard_scopes_accepted(spark, views, sql, n):
+    if "/*" in sql:  # hints look like comments, which are refused before
+        with pytest.raises(guard.Refused):
+            guard.check(spark, sql, {"mine"})
+        sql = sql.replace("/*+ BROADCAST(mine) */ ", "")
+    assert guard.run(spark, sql, {"mine"}).count() == n
+
+
+def test_guard_names(spark, views):
+    assert guard.relations(spark, "WITH a AS (SELECT * FROM X.y) SELECT * FROM a, z, `q.r`") == {("x", "y"), ("z",), ("q.r",)}
+    assert guard.check(spark, "SELECT * FROM guarded_db.t1", {"guarded_db.t1"})
+    with pytest.raises(guard.Refused):
+        guard.check(spark, "SELECT * FROM `guarded_db.t1`", {"guarded_db.t1"})
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        with pytest.raises(guard.Refused):
+            guard.check(spark, "WITH SECRET AS (SELECT 1 AS id) SELECT * FROM secret", {"mine"})
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    spark.createDataFrame([(1,)], "vvx int").createOrReplaceTempView("mine")
+    assert guard.run(spark, "SELECT vv FROM mine", {"mine"}).columns == ["vvx"]
+
+
 def test_names_paths_code(tmp_path):
     assert cleaning.client_of("MyCompany123") == "mycompany123" and guard.client("MyCompany123") == "mycompany123"
     assert cleaning.client_of("") == cleaning.client_of("../../../etc") == "invalid"
