@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.shipping import ship
+from ledgerspark.storage import dealt
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25  # fixed values of Okapi BM25
 CROWD = 1000  # classes of more than the 1/CROWD part of all rows, of which there are fewer than CROWD, are broadcast
+WORDS_KEPT = 1 << 20  # words whose hashes a task remembers
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 #: The same for RE2.
 SPACE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -51,16 +54,29 @@ def exact_duplicates(docs: DataFrame, digest=lambda c: F.sha2(c, 256), name: str
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, simhash: for each of 64 bits whether most words, with repeats, have it in the low half of their MD5; 0 for a
-    text without words. Words are rows, counted by text before anything is hashed."""
-    word = docs.select("doc_id", F.explode_outer(split(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
-    word = word.groupBy("doc_id", "w").agg(F.count("w").alias("n"))
-    half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
-    hashed = word.select("doc_id", "n", half(25).alias("lo"), half(17).alias("hi"))
-    ones = [F.sum(F.col("n") * F.shiftright(x, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{x}{i}") for x in ("lo", "hi") for i in range(32)]
-    votes = hashed.groupBy("doc_id").agg(F.sum("n").alias("n"), *ones)
-    bit = lambda x, i: F.when(2 * F.col(f"{x}{i}") > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    total = lambda x: sum((bit(x, i) for i in range(1, 32)), bit(x, 0))
-    return votes.select("doc_id", F.shiftleft(total("hi"), 32).bitwiseOR(total("lo")).alias("simhash"))
+    text without words. The words of a text vote in one place; no word is shuffled."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}  # the words' rows in bits
+        bits = np.zeros((0, 64), np.uint8)
+        for batch in batches:
+            if len(known) > WORDS_KEPT:
+                known, bits = {}, bits[:0]
+            counts = [Counter(t.split()) for t in batch.column(1).to_pylist()]
+            new = list({w for c in counts for w in c if w not in known})
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[8:] for w in new)
+            bits = np.concatenate([bits, np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)])
+            out = np.zeros(len(batch), np.uint64)
+            for i, c in enumerate(counts):
+                if c:
+                    votes = np.fromiter(c.values(), np.float64, len(c)) @ bits[[known[w] for w in c]].astype(np.float64)
+                    out[i] = np.packbits(2 * votes > c.total()).view(">u8")[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "simhash"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))))).mapInArrow(run, f"doc_id {kind}, simhash long")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -76,6 +92,7 @@ def close_fingerprints(prints: DataFrame, bits: int = 3) -> DataFrame:
     over 30 bits, so hardly any other pairs meet. Documents of one fingerprint are each paired with the smallest id among
     them, at distance 0; pairs of different fingerprints name those smallest ids, so every linked pair of documents
     follows from the rows."""
+    prints = prints.persist()  # 16 bytes a document, read three times
     classes = prints.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     total = F.broadcast(classes.agg(F.sum("n").alias("total")))  # one row
     shared = classes.where("n > 1").join(total, F.lit(True)).select("simhash", F.col("doc_id").alias("a"), (F.col("n") * CROWD > F.col("total")).alias("crowd"))
@@ -181,10 +198,11 @@ def squashed(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score + 10) / 20))
 
 
-def funnel(docs: DataFrame, query: str, k: int = 10, filters: dict | None = None) -> DataFrame:
+def funnel(docs: DataFrame, query: str, k: int = 10, filters: dict | None = None, lexical: DataFrame | None = None) -> DataFrame:
     """doc_id, vector_score, rerank_score: the 500 lexically best, those that meet all filters, the 50 best of them, by
-    cosine, and at last by words. Vectors are made for the 50 only."""
-    near = bm25(docs, query, LEXICAL).withColumnRenamed("score", "bm25_score").join(docs, "doc_id")
+    cosine, and at last by words. Vectors are made for the 50 only. lexical: doc_id, score of the first step, as an index
+    finds them; without it the texts are searched."""
+    near = (bm25(docs, query, LEXICAL) if lexical is None else lexical).withColumnRenamed("score", "bm25_score").join(docs, "doc_id")
     near = near.where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in (filters or {}).items()), F.lit(True)))
     some = near.orderBy(F.desc("bm25_score"), "doc_id").limit(VECTOR)
     scored = some.withColumn("score", F.round(cosine_of(embedded(F.col("text")), embedded(F.lit(query))), 8))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import cleaning, formats, ids, nested, periods, routing, similarity
-from ledgerspark.operators import logs, profile, statement, structure, text
+from ledgerspark.operators import logs, profile, retrieval, statement, structure, text
 from ledgerspark.plans import guard, repair, templates, tools
 from ledgerspark.plans.registry import passed, query, table
 from ledgerspark.sources import json_tables
@@ -147,10 +147,39 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.markdown_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
 
 
-@query()
+LIKE = "standard polished steel"
+#: DuckDB: the longest common run of two strings, the first of equals, then what lies before and behind it, until nothing
+#: is common; of strings and of their longer words.
+SPELLED = """
+RECURSIVE pair AS (
+    SELECT DISTINCT a, b FROM (
+        SELECT '{asked}' AS a, lower(p_type) AS b FROM part
+        UNION ALL SELECT x, y FROM (SELECT unnest(string_split('{asked}', ' ')) AS x, y FROM (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS y FROM part)) WHERE length(x) >= 4 AND length(y) >= 4)
+), part_of AS (
+    SELECT a, b, CAST(0 AS BIGINT) AS m, [{{'al': CAST(1 AS BIGINT), 'ah': CAST(length(a) + 1 AS BIGINT), 'bl': CAST(1 AS BIGINT), 'bh': CAST(length(b) + 1 AS BIGINT)}}] AS todo FROM pair
+    UNION ALL
+    SELECT a, b, m + k, CASE WHEN k = 0 THEN todo[2:] ELSE todo[2:] || [{{'al': al, 'ah': i, 'bl': bl, 'bh': j}}, {{'al': i + k, 'ah': ah, 'bl': j + k, 'bh': bh}}] END
+    FROM (
+        SELECT *, coalesce(best[1], 0) AS k, -best[2] AS i, -best[3] AS j FROM (
+            SELECT *, list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j:
+                       [coalesce(list_max(list_filter(range(1, least(ah - i, bh - j) + 1), lambda k: substr(a, i, k) = substr(b, j, k))), 0), -i, -j])))) AS best
+            FROM (SELECT a, b, m, todo, todo[1].al AS al, todo[1].ah AS ah, todo[1].bl AS bl, todo[1].bh AS bh FROM part_of WHERE len(todo) > 0)))
+), ratio AS (
+    SELECT a, b, 2.0 * max(m) / (length(a) + length(b)) AS r FROM part_of GROUP BY a, b
+)
+"""
+WORDS_IN_COMMON = "SELECT DISTINCT p_type, len(list_intersect({w}, list_distinct(regexp_extract_all(lower(p_type), '\\b\\w{{2,}}\\b')))) AS n, len(list_distinct({w} || regexp_extract_all(lower(p_type), '\\b\\w{{2,}}\\b'))) AS u FROM part"
+
+
+@query(
+    "WITH " + SPELLED.format(asked=LIKE) + ", w AS (" + WORDS_IN_COMMON.format(w=LIKE.split()) + "), t AS (SELECT DISTINCT p_type, lower(p_type) AS b FROM part), "
+    f"best AS (SELECT t.p_type, greatest(max(r) FILTER (a = '{LIKE}' AND ratio.b = t.b), 0.75 * coalesce(max(r) FILTER (a <> '{LIKE}' AND r >= 0.8 AND list_contains(string_split(t.b, ' '), ratio.b)), 0)) AS s FROM t, ratio GROUP BY t.p_type) "
+    f"SELECT p_partkey, CASE WHEN lower(part.p_type) = '{LIKE}' THEN 1 WHEN contains(lower(part.p_type), '{LIKE}') OR contains('{LIKE}', lower(part.p_type)) THEN 0.95 WHEN s >= 0.55 THEN s ELSE n / u END AS similarity FROM part JOIN best ON best.p_type = part.p_type JOIN w ON w.p_type = part.p_type"
+)
 def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By spelling, acronyms and synonyms; tests hold its goldens."""
-    return table(spark, sf_dir, "part").select("p_partkey", similarity.similarities(F.lit("standard polished steel"), "p_type").alias("similarity"))
+    """How alike each part's type is to a phrase."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.lit(LIKE).alias("question"))
+    return similarity.scored(rows, "question", "p_type", "similarity").select("p_partkey", "similarity")
 
 
 # JSON
@@ -397,7 +426,9 @@ def funnel_sql(bm25: str) -> str:
 
 @query()
 def funnel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.funnel(table(spark, sf_dir, "documents"), FUNNEL_QUESTION, 10, {"lang": "en"})
+    docs = table(spark, sf_dir, "documents")
+    lexical = retrieval.search(spark, retrieval.index_of(docs), FUNNEL_QUESTION, text.LEXICAL)
+    return text.funnel(docs, FUNNEL_QUESTION, 10, {"lang": "en"}, lexical)
 
 
 @query("SELECT point_id, version, v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY version DESC, new DESC) AS n FROM (SELECT p_partkey % 50 AS point_id, p_size AS version, p_partkey AS v, 0 AS new FROM part WHERE p_partkey < 50 UNION ALL SELECT p_partkey % 50, p_size, p_partkey, 1 FROM part WHERE p_partkey BETWEEN 50 AND 99)) WHERE n = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import cleaning, nested, periods, routing
-from ledgerspark.operators import audit, logs, profile, statement, text
+from ledgerspark.operators import audit, logs, profile, retrieval, statement, text
 from ledgerspark.plans.registry import ORACLE_SQL, QUERIES, TABLES, passed, query, table
 from ledgerspark.streaming import events as stream
 
@@ -30,18 +30,6 @@ passed("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FRO
 passed("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
 passed("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 passed("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-passed("join_asof", "SELECT event_id, max(p.p_partkey) AS part FROM {events} JOIN {part} p ON p.p_partkey <= CAST(floor(value) AS BIGINT) AND p.p_partkey > CAST(floor(value) AS BIGINT) - 50 GROUP BY event_id")
-#: Each event with the largest part key at or below its value, however far; null if there is none. Distinct keys go through
-#: windows of a range of keys each, so that no window holds a whole table.
-NEAREST = """
-WITH u AS (SELECT DISTINCT CAST(floor(value) AS BIGINT) AS k, CAST(NULL AS BIGINT) AS part FROM {events} UNION ALL SELECT DISTINCT p_partkey, p_partkey FROM {part}),
-b AS (SELECT k, part, CAST(floor(k / 10000) AS BIGINT) AS bucket FROM u WHERE k IS NOT NULL),
-h AS (SELECT k, bucket, max(part) OVER (PARTITION BY bucket ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS here FROM b),
-c AS (SELECT bucket, max(part) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT bucket, max(part) AS part FROM b GROUP BY bucket)),
-m AS (SELECT k, max(coalesce(here, before)) AS part FROM h JOIN c USING (bucket) GROUP BY k)
-SELECT event_id, m.part AS part FROM {events} LEFT JOIN m ON CAST(floor(value) AS BIGINT) = k
-"""
-passed("join_asof_nearest", NEAREST, "SELECT event_id, p_partkey AS part FROM {events} ASOF LEFT JOIN {part} ON CAST(floor(value) AS BIGINT) >= p_partkey")
 passed("catalog_semi", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')")
 
 # aggregations
@@ -314,7 +302,7 @@ SELECT doc_id, round(score, 8) AS score FROM r WHERE round(score, 8) > 0 ORDER B
 
 @query(BM25.format(space=text.SPACE_SQL, asked=ASKED, k=10))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.bm25(table(spark, sf_dir, "documents"), ASKED)
+    return retrieval.search(spark, retrieval.index_of(table(spark, sf_dir, "documents")), ASKED)
 
 
 @query("WITH q AS (SELECT list_transform(range(1, 65), lambda i: CASE WHEN i <= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 8) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")
@@ -430,7 +418,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # more of joins, cohorts, statements, cleaning, texts, logs
-passed("join_range", "SELECT lo, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN (VALUES (0, 50000), (50000, 100000), (100000, 200000), (200000, 400000)) b(lo, hi) ON o_totalprice >= lo AND o_totalprice < hi GROUP BY lo")
 passed("catalog_anti", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 45)")
 PRIOR = "SELECT event_id, {last} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value FROM {{events}}"
 passed("join_asof_prior", PRIOR.format(last="last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS").replace("{{", "{").replace("}}", "}"), PRIOR.format(last="last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)").replace("{{", "{").replace("}}", "}"))
@@ -511,6 +498,6 @@ def log_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.tier(log).select("event_id", "tier")
 
 
-from ledgerspark.plans import more  # noqa: E402  the other queries
+from ledgerspark.plans import more, ordered  # noqa: E402, F401  the other queries
 
 ORACLE_SQL["funnel_topk"] = more.funnel_sql(BM25)
