@@ -244,6 +244,13 @@ def moment(c: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in DATES))
 
 
+def instant(c: Column) -> Column:
+    """A moment from text in one of the usual spellings, or from seconds (10 digits) or milliseconds (13) since 1970."""
+    number = c.try_cast("long")
+    unix = F.when(c.rlike(r"^\d{10}$"), F.timestamp_seconds(number)).when(c.rlike(r"^\d{13}$"), F.timestamp_millis(number))
+    return F.coalesce(unix, moment(c))
+
+
 def inferred(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Text columns as what they are, and what that is: number, integer, id, date, category or text.
 

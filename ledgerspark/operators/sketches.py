@@ -2,7 +2,8 @@
 
 A day's row holds a HyperLogLog sketch for each column whose distinct values are counted and a KLL sketch for each one whose
 quantiles are asked for, by group. Rows are small and of bounded size, so days are kept, replaced one by one when late rows
-come, and merged instead of read again.
+come, and merged instead of read again. Merged sketches have the registers of one over all rows, but another estimator,
+so numbers differ a little by how rows were divided, within the stated bounds.
 """
 
 from __future__ import annotations

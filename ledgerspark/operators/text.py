@@ -174,10 +174,11 @@ def missing_embeddings(chunks: DataFrame, known: DataFrame, embed=embedded) -> D
 
 
 def upserted(have: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
-    """The rows of both, of each key the one with the highest `version`; of equals that in `new`."""
+    """The rows of both, of each key the one with the highest `version`; of equals that in `new`. Tables that are kept take
+    upserts by bucket: `sources.versioned`."""
     both = have.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("version"), F.desc("is_new")))
-    return both.withColumn("last", last).where("last = 1").drop("last", "is_new")
+    best = both.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`").alias(c) for c in have.columns)), F.struct("version", "is_new")).alias("r"))
+    return best.select(*(F.col("r")[c].alias(c) for c in have.columns))
 
 
 #: How many go from one step of the funnel to the next, and by how much a search is widened.

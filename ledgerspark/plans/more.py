@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ledgerspark.functions import cleaning, formats, ids, nested, periods, routi
 from ledgerspark.operators import logs, profile, retrieval, statement, structure, text
 from ledgerspark.plans import guard, repair, templates, tools
 from ledgerspark.plans.registry import passed, query, table
-from ledgerspark.sources import json_tables
+from ledgerspark.sources import json_tables, versioned
+from ledgerspark.storage import shared
 from ledgerspark.streaming import state
 
 
@@ -120,10 +123,9 @@ def excel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", periods.excel_date(serial.cast("string")).alias("day"))
 
 
-@query("SELECT o_orderkey, CASE WHEN v >= 10000000 THEN '₹' || printf('%.2f', v / 10000000) || ' crores' WHEN v >= 100000 THEN '₹' || printf('%.2f', v / 100000) || ' lakhs' END AS amount FROM (SELECT o_orderkey, o_totalprice * 100 AS v FROM orders) WHERE v >= 100000")
+@query("SELECT o_orderkey, CASE WHEN v = 0 THEN '₹0' WHEN abs(v) >= 10000000 THEN s || '₹' || printf('%.2f', abs(v) / 10000000) || ' crores' WHEN abs(v) >= 100000 THEN s || '₹' || printf('%.2f', abs(v) / 100000) || ' lakhs' WHEN abs(v) >= 1000 THEN s || '₹' || CAST(CAST(floor(abs(v) / 1000) AS BIGINT) AS VARCHAR) || ',' || printf('%06.2f', abs(v) - 1000 * floor(abs(v) / 1000)) ELSE s || '₹' || printf('%.2f', abs(v)) END AS amount FROM (SELECT o_orderkey, o_totalprice * 100 AS v, CASE WHEN o_totalprice < 0 THEN 'negative ' ELSE '' END AS s FROM orders)")
 def format_rupees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("o_totalprice") * 100
-    return table(spark, sf_dir, "orders").where(v >= 100000).select("o_orderkey", formats.rupees(v).alias("amount"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", formats.rupees(F.col("o_totalprice") * 100).alias("amount"))
 
 
 @query("SELECT doc_id, coalesce(length(text), 0) // 4 AS tokens FROM documents")
@@ -431,10 +433,14 @@ def funnel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.funnel(docs, FUNNEL_QUESTION, 10, {"lang": "en"}, lexical)
 
 
-@query("SELECT point_id, version, v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY version DESC, new DESC) AS n FROM (SELECT p_partkey % 50 AS point_id, p_size AS version, p_partkey AS v, 0 AS new FROM part WHERE p_partkey < 50 UNION ALL SELECT p_partkey % 50, p_size, p_partkey, 1 FROM part WHERE p_partkey BETWEEN 50 AND 99)) WHERE n = 1")
+@query("SELECT point_id, version, v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY version DESC, new DESC) AS n FROM (SELECT p_partkey // 4 AS point_id, p_size AS version, p_partkey AS v, p_partkey % 4 // 2 AS new FROM (SELECT min(p_partkey) AS p_partkey, p_size FROM part GROUP BY p_partkey // 4, p_partkey % 4 // 2, p_size))) WHERE n = 1")
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("point_id"), F.col("p_size").alias("version"), F.col("p_partkey").alias("v"))
-    return text.upserted(rows.where("v < 50"), rows.where("v BETWEEN 50 AND 99")).select("point_id", "version", "v")
+    """All parts as points in two batches, written by bucket; of each point the newest version stays."""
+    rows = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 4").alias("point_id"), F.expr("p_partkey % 4 div 2").alias("new"), F.col("p_size").alias("version")).agg(F.min("p_partkey").alias("v"))
+    points = versioned.Table(spark, shared(spark, f"points-{uuid.uuid4().hex}"), "point_id", "version", 16)
+    for new in (0, 1):
+        points.upsert(rows.where(F.col("new") == new).drop("new"))
+    return points.rows().select("point_id", "version", "v")
 
 
 @query("SELECT c_custkey, md5(c_name || ':' || c_nationkey || ':' || c_mktsegment) AS point_id FROM customer")

@@ -207,3 +207,30 @@ def retried(call: Callable[[], object], times: int = 3, wait: float = 0.5, most:
                 raise
             sleep(min(most, wait * 2**n) * (1 + random.random() / 10))
     raise AssertionError
+
+
+class Providers:
+    """Calls to the same service by several providers, tried in order; one that fails rests for a while. If all rest, the
+    one that has rested longest is tried."""
+
+    def __init__(self, calls: dict[str, Callable[..., object]], rest: float = 60.0, errors: tuple = (OSError, TimeoutError), clock=time.monotonic):
+        self.calls, self.rest, self.errors, self.clock = calls, rest, errors, clock
+        self.failed: dict[str, float] = {}
+
+    def ready(self) -> list[str]:
+        now = self.clock()
+        able = [n for n in self.calls if now - self.failed.get(n, -self.rest) >= self.rest]
+        return able or sorted(self.failed, key=self.failed.get)[:1]
+
+    def __call__(self, *given: object) -> tuple[object, str]:
+        """The answer, and whose it is; the last error if nobody has one."""
+        error: BaseException | None = None
+        for name in self.ready():
+            try:
+                answer = self.calls[name](*given)
+            except self.errors as e:
+                self.failed[name], error = self.clock(), e
+            else:
+                self.failed.pop(name, None)
+                return answer, name
+        raise error or LookupError("no providers")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import cleaning, ids
+from ledgerspark.operators.membership import Membership
+from ledgerspark.storage import deleted, folders
 
 READERS = {
     "csv": lambda r, p: r.option("header", True).option("inferSchema", False).csv(p),
@@ -32,10 +34,10 @@ class Unsupported(ValueError):
 def read(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
     """A file by its ending; typed: text columns as what they are."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("xlsx", "xls"):
-        from ledgerspark.sources import sheets
+    if kind in ("xlsx", "xlsm"):
+        from ledgerspark.sources import sheets, workbook
 
-        return sheets.best(sheets.read(spark, path))[1]
+        return sheets.best(workbook.read(spark, path))[1]
     if kind not in READERS:
         raise Unsupported(f"no reader for .{kind}")
     df = READERS[kind](spark.read, path)
@@ -74,47 +76,19 @@ def described(df: DataFrame, samples: int = 3) -> str:
     return "\n".join(f"- {n} ({t}): {', '.join(str(r[n]) for r in rows if r[n] is not None)}" for n, t in df.dtypes)
 
 
-class Bloom:
-    """Says of a key that it was never added, or that it may have been."""
-
-    def __init__(self, capacity: int = 10_000, rate: float = 0.01):
-        self.bits = max(64, int(-capacity * math.log(rate) / math.log(2) ** 2))
-        self.hashes = max(1, int(self.bits / max(capacity, 1) * math.log(2)))
-        self.held, self.count = bytearray(-(-self.bits // 8)), 0
-
-    def _places(self, key: str) -> list[int]:
-        a, b = (int.from_bytes(h(key.encode()).digest(), "big") for h in (hashlib.sha256, hashlib.md5))
-        return [(a + i * b) % self.bits for i in range(self.hashes)]
-
-    def add(self, key: str) -> None:
-        for p in self._places(key):
-            self.held[p >> 3] |= 1 << (p & 7)
-        self.count += 1
-
-    def __contains__(self, key: str) -> bool:
-        return all(self.held[p >> 3] >> (p & 7) & 1 for p in self._places(key))
-
-    def rebuild(self, keys) -> None:
-        self.held, self.count = bytearray(len(self.held)), 0
-        for k in keys:
-            self.add(k)
-
-    def stats(self) -> dict:
-        on = sum(b.bit_count() for b in self.held)
-        fill = on / self.bits
-        return {"capacity_bits": self.bits, "hash_functions": self.hashes, "items_added": self.count, "bits_set": on, "fill_ratio": round(fill, 4), "estimated_fp_rate": round(fill**self.hashes, 6)}
-
-
 class Catalog:
-    """Datasets are folders root/data/client_id=…/doc_id=…/sheet=…, named client:doc:sheet. Each has a row in root/meta, by
-    tenant too, so that other tenants' files and rows aren't read. A tenant sees, loads and deletes its own only."""
+    """Datasets are folders root/data/client_id=…/doc_id=…/sheet=…, named client:doc:sheet. Each has rows in root/meta, by
+    tenant too, so that other tenants' files and rows aren't read. A tenant sees, loads and deletes its own only.
+
+    A dataset's rows lie in a folder of their own for each time that it's registered, and the row of metadata, written last,
+    names it: a dataset can be registered anew from itself, a write that fails leaves the old one, and what is being
+    read stays until it's registered once more. Ids are kept in a filter as well, in root/ids; see known()."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, datasets: int = 100_000):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.bloom = Bloom()
-        self.bloom.rebuild(r.dataset_id for r in self.all().select("dataset_id").toLocalIterator())
+        self.members = Membership(spark, f"{self.root}/ids", datasets)
 
     def parts(self, dataset: str, client: str | None = None) -> tuple[str, str, str]:
         """client, document and sheet as folders have them: missing ones are the given client, `misc` and `data`; of two parts
@@ -148,19 +122,38 @@ class Catalog:
             raise ValueError("no columns")
         key = self._id(dataset, client)
         owner, doc, sheet = key.split(":", 2)
-        df.write.mode("overwrite").parquet(self.at(dataset, client))
-        row = self.spark.createDataFrame([(key, doc, sheet, df.columns, dict(df.dtypes), json.dumps(meta or {}))], "dataset_id string, doc_id string, sheet string, columns array<string>, dtypes map<string,string>, meta string")
-        row.withColumn("registered_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(self._meta(key))
-        self.bloom.add(key)
+        before = self._named(key)
+        at = f"{self.at(dataset, client)}/v={uuid.uuid4().hex}"
+        df.write.parquet(at)
+        row = self.spark.createDataFrame([(key, doc, sheet, df.columns, dict(df.dtypes), json.dumps(meta or {}), at.rsplit("/", 1)[1])], "dataset_id string, doc_id string, sheet string, columns array<string>, dtypes map<string,string>, meta string, folder string")
+        row.withColumn("registered_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._meta(key))
+        for name in folders(self.spark, self.at(dataset, client)):
+            if name.startswith("v=") and name not in (at.rsplit("/", 1)[1], before):
+                deleted(self.spark, f"{self.at(dataset, client)}/{name}")
+        if before is None:
+            self.members.add(row, "dataset_id")
         self.view(dataset, owner)
         return key
 
+    def _named(self, key: str) -> str | None:
+        """The folder that a dataset's latest row names."""
+        if not self._fs.exists(self._path(self._meta(key))):
+            return None
+        row = self.spark.read.schema("registered_at timestamp, folder string").parquet(self._meta(key)).orderBy(F.desc("registered_at")).first()
+        return row.folder if row else None
+
     def all(self) -> DataFrame:
-        """A row of metadata for each dataset."""
+        """A row of metadata for each dataset, the latest."""
         if not self._fs.exists(self._path(f"{self.root}/meta")):
             return self.spark.createDataFrame([], META)
         schema = ", ".join(x for x in META.split(", ") if not x.startswith("client_id"))
-        return self.spark.read.schema(schema + ", client_id string, entry string").parquet(f"{self.root}/meta").drop("entry").select("dataset_id", "client_id", "doc_id", "sheet", "columns", "dtypes", "registered_at", "meta")
+        rows = self.spark.read.schema(schema + ", client_id string, entry string").parquet(f"{self.root}/meta").drop("entry")
+        last = rows.groupBy("client_id", "dataset_id").agg(F.max_by(F.struct("doc_id", "sheet", "columns", "dtypes", "registered_at", "meta"), "registered_at").alias("r"))
+        return last.select("dataset_id", "client_id", "r.doc_id", "r.sheet", "r.columns", "r.dtypes", "r.registered_at", "r.meta")
+
+    def known(self, wanted: DataFrame, column: str = "dataset_id") -> DataFrame:
+        """The wanted rows whose ids are registered: the filter leaves most others out before the metadata are read."""
+        return self.members.among(wanted, column).join(self.all().select(F.col("dataset_id").alias("__id")), F.col(column) == F.col("__id"), "left_semi")
 
     def datasets(self, client: str) -> DataFrame:
         """The client's, oldest first, with the id of the document inside."""
@@ -169,9 +162,8 @@ class Catalog:
     def load(self, dataset: str, client: str) -> DataFrame | None:
         """The client's frame; None if there is none or it's another's."""
         key = self._owned(dataset, client)
-        if key is None or key not in self.bloom or not self._fs.exists(self._path(self.at(dataset, client))):
-            return None
-        return self.spark.read.parquet(self.at(dataset, client))
+        folder = self._named(key) if key else None
+        return self.spark.read.parquet(f"{self.at(dataset, client)}/{folder}") if folder else None
 
     def view(self, dataset: str, client: str) -> str:
         df = self.load(dataset, client)
@@ -204,7 +196,6 @@ class Catalog:
             return False
         self._fs.delete(self._path(self.at(dataset, client)), True)
         self._fs.delete(self._path(self._meta(key)), True)
-        self.bloom.rebuild(r.dataset_id for r in self.all().select("dataset_id").toLocalIterator())
         return True
 
     def metrics(self) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from ledgerspark.functions.nested import flattened
 from ledgerspark.sources.json_tables import DEEP, DEPTH, _paths, _table
@@ -23,7 +23,7 @@ OBJECT, ROWS, LIST = "OBJECT<%", "ARRAY<OBJECT<%", "ARRAY<%"
 def read(spark: SparkSession, path: str) -> DataFrame:
     """id (the file's path), text of all files at path, as UTF-8 or else Latin-1."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), "content")
-    return raw.select("id", F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1")).alias("text"))
+    return raw.select("id", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
 
 
 def parsed(texts: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def shapes(docs: DataFrame) -> DataFrame:
         F.expr(f"bool_or(k like '{LIST}')").alias("some"),
         F.expr(f"min_by(k, key) like '{ROWS}'").alias("first"),
     )
-    level = top
-    for _ in range(DEEP + 1):
+    level = _children(top)
+    for _ in range(DEEP):
         level = _children(level)
     deep = level.select("id").distinct().withColumn("deep", F.lit(True))
     both = docs.join(told, "id", "left").join(deep, "id", "left").withColumn("k", F.expr(_kind("doc")))
@@ -78,7 +78,9 @@ def rows(shaped: DataFrame) -> DataFrame:
     found = [plain, records, columnar, nested]
     level = of("complex_nested").withColumn("table", F.lit(""))
     for _ in range(DEPTH + 1):
-        level = level.withColumn("k", F.expr(_kind("value")))
+        level = level.withColumn("k", F.expr(_kind("value"))).persist()  # read by four plans
+        if level.isEmpty():
+            break
         found.append(level.where(f"k like '{ROWS}'").lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("value").alias("v"))).select("id", F.when(F.col("table") == "", "root").otherwise(F.col("table")).alias("table"), F.col("v").alias("value")))
         objects = level.where(f"k like '{OBJECT}'").lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("f"), F.col("value").alias("v"))).where("f is not null")
         scalar = F.expr(f"not ({_kind('v')} like '{OBJECT}' or {_kind('v')} like '{LIST}')")
@@ -93,26 +95,28 @@ def ddl(schema: str) -> str:
     return re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", re.sub(r"\bOBJECT<", "STRUCT<", schema)).replace("VOID", "STRING").replace("VARIANT", "STRING")
 
 
-def typed(table: DataFrame) -> DataFrame:
-    """id and the columns of one table's rows, by the schema of all of them; objects flattened, lists of records left out as
-    they are tables of their own, plain names."""
+def typed(table: DataFrame, flat: bool = False) -> DataFrame:
+    """id and the columns of one table's rows, by the schema of all of them, with plain names. Objects and lists are JSON text;
+    flat: objects are columns, and lists of records are left out, as they are tables of their own."""
     schema = ddl(table.agg(F.schema_of_variant_agg("value")).first()[0] or "VOID")
     if not schema.startswith("STRUCT<") or schema == "STRUCT<>":
         return table.select("id", F.col("value").cast("string").alias("value"))
     # by way of JSON text, so that a value of another type than most becomes text or null, not an error
     wide = table.select(F.col("id").alias("__id"), F.from_json(F.to_json("value"), schema).alias("r")).select("__id", "r.*")
-    kind = StructType([f for f in wide.schema.fields if f.name != "__id"])
-    drop = {c for c in _paths(kind)}
-    flat = flattened(wide)
-    plain = _table(flat.drop(*drop))
+    if flat:
+        wide = flattened(wide).drop(*_paths(StructType([f for f in wide.schema.fields if f.name != "__id"])))
+    plain = _table(wide)
     return plain.withColumnRenamed(plain.columns[0], "id")
 
 
 def tables(texts: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the documents (id, text) by name, '' for documents that are one table, each with the id of its document."""
-    every = rows(shapes(parsed(texts)))
-    names = [r.table for r in every.select("table").distinct().orderBy("table").collect()]  # names of tables
-    return {n: typed(every.where(F.col("table") == n).select("id", "value")) for n in names}
-
-
-__all__ = ["ArrayType", "ddl", "parsed", "read", "rows", "shapes", "tables", "typed"]
+    """All tables of the documents (id, text) by name, '' for documents that are one table, each with the id of its document.
+    Those of deeply nested documents are flat; `_nested` follows their names where others have the same."""
+    shaped = shapes(parsed(texts)).persist()
+    out = {}
+    for nested in (False, True):
+        every = rows(shaped.where((F.col("shape") == "complex_nested") == F.lit(nested))).persist()
+        for r in every.select("table").distinct().orderBy("table").collect():  # names of tables
+            name = f"{r.table}_nested" if r.table in out else r.table
+            out[name] = typed(every.where(F.col("table") == r.table).select("id", "value"), nested)
+    return out

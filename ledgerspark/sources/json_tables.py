@@ -21,7 +21,7 @@ def parsed(spark: SparkSession, text: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row with a column `doc` from a file with one document, as UTF-8 or else Latin-1."""
     raw = spark.read.format("binaryFile").load(path).select("content")
-    text = F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1"))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return parsed(spark, raw.select(text).first()[0])
 
 

@@ -1,8 +1,7 @@
-"""Workbooks: every sheet a frame, if a reader of workbooks is installed; the best one by its score."""
+"""Sheets by their scores, and sheets that come as pandas frames."""
 
 from __future__ import annotations
 
-import io
 from functools import reduce
 
 import pandas as pd
@@ -13,21 +12,8 @@ from ledgerspark.functions import cleaning
 from ledgerspark.operators import profile
 
 
-class NoReader(RuntimeError):
-    """No library that reads workbooks is installed."""
-
-
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The sheets of two rows or more by name, cleaned, in their order. The file comes through Spark, from any store."""
-    content = spark.read.format("binaryFile").load(path).select("content").first().content
-    try:
-        found = pd.read_excel(io.BytesIO(bytes(content)), sheet_name=None)
-    except ImportError as e:
-        raise NoReader("reading workbooks needs openpyxl or python-calamine") from e
-    return from_frames(spark, found)
-
-
 def from_frames(spark: SparkSession, found: dict[str, pd.DataFrame]) -> dict[str, DataFrame]:
+    """Sheets that a caller has in memory already; files are read by `workbook`."""
     out = {}
     for name, pdf in found.items():
         if len(pdf) >= 2:

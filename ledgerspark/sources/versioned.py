@@ -74,7 +74,7 @@ class Table:
             return sorted(self.states.latest().parts)
         touched = sorted(r.bucket for r in self._bucketed(new).select("bucket").distinct().collect())  # self.buckets numbers at most
         old = self.rows(touched)
-        both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__new", F.lit(1)))
+        both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*(F.col(f"`{c}`") for c in old.columns)).withColumn("__new", F.lit(1)))
         self._write(latest(both, self.key, [self.version, "__new"]).drop("__new"), touched, dict(now.parts))
         return touched
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -122,9 +123,60 @@ def bucket(tokens: Column) -> Column:
 
 
 def batched(requests: DataFrame) -> DataFrame:
-    """Requests with the group in which they go: of one bucket, by priority and time, eight at most. For foreachBatch."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("priority", "at", "request_id"))
-    return requests.withColumn("bucket", bucket(F.col("tokens"))).withColumn("batch", F.floor((place - 1) / TOGETHER).cast("int"))
+    """Requests with the group in which they go: of one bucket, by priority and time, eight at most. Places are counted within
+    a priority's hour and added to the sizes of the hours before, so no task sorts a bucket."""
+    rows = requests.withColumn("bucket", bucket(F.col("tokens"))).withColumn("__hour", F.date_trunc("hour", "at"))
+    part = ["bucket", "priority", "__hour"]
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("bucket").orderBy("priority", "__hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(*(F.col(c).alias(f"__{c}") for c in part), before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("at", "request_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in part]
+    placed = rows.withColumn("__place", place).join(firsts, same[0] & same[1] & same[2])
+    return placed.withColumn("batch", F.floor((F.col("__before") + F.col("__place") - 1) / TOGETHER).cast("int")).drop("__hour", "__place", "__before", *(f"__{c}" for c in part))
+
+
+WITHIN = "client string, request_id string, at timestamp, n long"
+MICROS = 1_000_000
+
+
+def within(requests: DataFrame, seconds: int = 60, late: str = "10 seconds") -> DataFrame:
+    """client, request_id, at, n: how many requests of the client there were in the `seconds` up to each, itself and those of
+    the same moment included. Rows without a client or a time are left out.
+
+    On a stream a row comes out once the watermark has passed it, when none before it can come any more; state holds a client's rows that
+    wait and the times of the last `seconds`, and a timer brings rows out, and takes state away, of clients from which nothing comes."""
+    ship(requests.sparkSession)
+    rows = requests.where("client is not null and at is not null").select(F.col("client").cast("string").alias("client"), F.col("request_id").cast("string").alias("request_id"), F.col("at").cast("timestamp").alias("at"))
+    if not rows.isStreaming:
+        micros = F.unix_micros("at")
+        span = Window.partitionBy("client").orderBy(micros).rangeBetween(-seconds * MICROS, 0)
+        return rows.withColumn("n", F.count("*").over(span))
+    reach = seconds * MICROS
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, waiting, names = ([list(x) for x in state.get] if state.exists else ([], [], []))
+        for pdf in [] if state.hasTimedOut else batches:
+            waiting += [t.value // 1000 for t in pdf["at"]]
+            names += list(pdf["request_id"])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(t for t in waiting if t <= passed)
+        if ready:
+            times = sorted(times + ready)
+            out = [(key[0], name, pd.Timestamp(t, unit="us"), bisect_right(times, t) - bisect_left(times, t - reach)) for t, name in zip(waiting, names, strict=True) if t <= passed]
+            yield pd.DataFrame(out, columns=["client", "request_id", "at", "n"])
+        times = [t for t in times if t >= passed - reach]
+        rest = [(t, name) for t, name in zip(waiting, names, strict=True) if t > passed]
+        if not rest and not times:
+            if state.exists:
+                state.remove()
+            return
+        state.update((times, [t for t, _ in rest], [name for _, name in rest]))
+        soonest = min(t for t, _ in rest) if rest else times[-1] + reach
+        state.setTimeoutTimestamp(max(soonest // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    known = rows.withWatermark("at", late).groupBy("client")
+    return known.applyInPandasWithState(step, WITHIN, "times array<long>, waiting array<long>, names array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def arriving(spark, folder: str, schema: str, handle: Callable[[DataFrame], None], checkpoint: str, kind: str = "csv") -> int:

@@ -1,6 +1,7 @@
 """Catalogs on disk, files of every kind, JSON of every shape, and real streams."""
 
 import json
+import random
 import time
 
 import pytest
@@ -26,7 +27,16 @@ def test_catalog(spark, tmp_path):
     assert c.related(key, "My Co").count() == 2 and "2 sheets" in c.sheets("My Co") and c.metrics().count() == 2
     assert not c.delete(key, "else") and c.delete(key, "My Co") and not c.exists(key, "My Co")
     again = catalog.Catalog(spark, str(tmp_path / "c"))
-    assert again.all().count() == 2 and again.exists("solo", "else") and key not in again.bloom
+    assert again.all().count() == 2 and again.exists("solo", "else")
+    wanted = spark.createDataFrame([("else:solo:data",), (key,), ("x:y:z",), (None,)], "dataset_id string")
+    assert [r[0] for r in again.known(wanted).collect()] == [r.dataset_id for r in again.datasets("else").collect()]
+    # from itself, and a write that fails
+    solo = again.load("solo", "else")
+    again.register("solo", solo.unionByName(solo.withColumn("a", F.col("a") + 10)), "else")
+    assert again.load("solo", "else").count() == 4 and again.datasets("else").count() == 1 and solo.count() == 2
+    with pytest.raises(Exception, match="(?i)divi|raise"):
+        again.register("solo", again.load("solo", "else").withColumn("a", F.raise_error(F.lit("division")).cast("int")), "else")
+    assert again.load("solo", "else").count() == 4
     for bad in ("../etc:doc:x", "a/b:doc:x"):
         with pytest.raises(ValueError):
             c.at(bad)
@@ -34,13 +44,6 @@ def test_catalog(spark, tmp_path):
         c.register("x", spark.createDataFrame([()], ""), "me")
 
 
-def test_bloom():
-    b = catalog.Bloom(1000)
-    b.rebuild(f"k{i}" for i in range(1000))
-    assert all(f"k{i}" in b for i in range(1000)) and sum(f"z{i}" in b for i in range(5000)) < 150
-    assert b.stats()["items_added"] == 1000 and b.stats()["hash_functions"] == 6 and "x" not in catalog.Bloom()
-
-
 def test_ids(spark, tmp_path):
     i = catalog.Ids(spark, str(tmp_path / "ids"))
     a, was = i.create("u1")
@@ -151,6 +154,30 @@ def test_stream_budget_jobs_once(spark, tmp_path):
     assert len(streamed(spark, tmp_path / "c", [r1], lambda s: state.once(s, "key"), "append")) == 2 and state.once(r1, "key").count() == 2
 
 
+def test_stream_within(spark, tmp_path):
+    """The stream's counts equal the batch's, whatever the order of arrival within the watermark; late rows aside."""
+    rng = random.Random(3)
+    at = lambda s: f"2024-01-01 00:{s // 60 % 60:02d}:{s % 60:02d}"
+    made = [(f"c{rng.randrange(3)}", i, i // 3 + rng.randrange(5)) for i in range(240)]
+    frame = lambda rows: spark.createDataFrame([(c, i, at(s)) for c, i, s in rows], "client string, request_id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    files = [frame(made[a : a + 60]) for a in range(0, 240, 60)] + [frame([("c0", 1000, 3000), (None, 1001, 3000)]), frame([("c0", 1002, 3500)])]
+    want = {(r.client, r.request_id): r.n for r in state.within(frame(made)).collect()}
+    got = {(r.client, r.request_id): r.n for _, r in streamed(spark, tmp_path, files, lambda s: state.within(s), "append")}
+    assert {k: v for k, v in got.items() if int(k[1]) < 1000} == want and len(want) == 240
+    assert got[("c0", "1000")] == 1 and max(want.values()) > 20
+
+
+def test_batched(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([10, 200, 900, None]), rng.choice([1, 2, None]), f"2024-01-01 {rng.randrange(5):02d}:{rng.randrange(60):02d}:00") for i in range(300)]
+    df = spark.createDataFrame(rows, "request_id int, tokens int, priority int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    by = {}
+    for i, t, p, a in rows:
+        by.setdefault("short" if t == 10 else "medium" if t == 200 else "long", []).append(((p is not None, p or 0), a, i))
+    want = {i: (b, n // 8) for b, found in by.items() for n, (_, _, i) in enumerate(sorted(found))}
+    assert {r.request_id: (r.bucket, r.batch) for r in state.batched(df).collect()} == want
+
+
 def test_arriving_and_events(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("x,y\n1,2\n3,4\n")

@@ -1,6 +1,8 @@
 import time
 
-from ledgerspark.functions.cache import Cache, Level
+import pytest
+
+from ledgerspark.plans.tools import Providers
 from ledgerspark.plans.router import Router, keyword_intent
 
 
@@ -22,19 +24,22 @@ def test_router():
     assert len(r.held) <= 1000
 
 
-def test_cache():
-    now = [0.0]
-    c = Cache(Level(2, 10, lambda: now[0]), Level(5, 100, lambda: now[0]))
-    c.put("d", "What is  the total?", 1)
-    assert c.get("d", "what is the total?") == 1 and c.get("e", "what is the total?") is None
-    assert c.get("d", "what is the totall?") == 1 and c.get("d", "something else") is None
-    now[0] = 50
-    assert c.get("d", "what is the total?") == 1 and not c.first.held
-    for _ in range(10):
-        c.get("d", "what is the total?")
-    assert c.first.held
-    now[0] = 500
-    assert c.get("d", "what is the total?") is None
-    for i in range(4):
-        c.put("d", f"q{i}", i)
-    assert len(c.first.held) == 2 and c.first.evictions == 2 and c.rates()["hits"] >= 13
+def test_providers():
+    now, said = [0.0], []
+
+    def fails(x):
+        said.append(x)
+        raise TimeoutError("no")
+
+    p = Providers({"a": fails, "b": lambda x: x + 1}, rest=60, clock=lambda: now[0])
+    assert p(1) == (2, "b") and p(2) == (3, "b") and said == [1]  # it rests
+    now[0] = 61
+    assert p(3) == (4, "b") and said == [1, 3]
+    q = Providers({"a": fails}, clock=lambda: now[0])
+    for _ in range(2):  # there's nobody else
+        with pytest.raises(TimeoutError):
+            q(5)
+    with pytest.raises(LookupError):
+        Providers({})(1)
+    with pytest.raises(KeyError):
+        Providers({"a": lambda x: {}[x]})(1)
