@@ -13,8 +13,9 @@ meet each other and those of the component. Sketches of a pair of blocks leave o
 partner in another component; their texts follow and are verified exactly, over shared shingles, and only links leave
 the task. No list is expanded into pairs of rows.
 
-NEED and ESTIMATE lie six standard deviations below what two sets at the threshold share: by the binomial tail a link
-at the very threshold is missed with a probability under 10 ** -9; sets of up to FULL shingles, or K for the
+NEED and ESTIMATE lie about six standard deviations below what two sets at the threshold share. By the binomial tail, a
+link at the very threshold shares fewer than NEED of K values with a probability of 1.3 * 10 ** -9, and its estimate,
+which takes 28 of 64, is too low with 2.5 * 10 ** -8; so often it's missed. Sets of up to FULL shingles, or K for the
 estimate, have exact bounds.
 
 Nulls: a null or blank text has an empty set and no links. A row whose id is null has no links and is kept. Rows that
