@@ -28,7 +28,7 @@ def test_catalog(spark, tmp_path):
     assert not c.delete(key, "else") and c.delete(key, "My Co") and not c.exists(key, "My Co")
     again = catalog.Catalog(spark, str(tmp_path / "c"))
     assert again.all().count() == 2 and again.exists("solo", "else")
-    wanted = spark.createDataFrame([("else:solo:data",), (key,), ("x:y:z",), (None,)], "dataset_id string")
+    wanted = spark.createDataFrame([("else:misc:solo",), (key,), ("x:y:z",), (None,)], "dataset_id string")
     assert [r[0] for r in again.known(wanted).collect()] == [r.dataset_id for r in again.datasets("else").collect()]
     # from itself, and a write that fails
     solo = again.load("solo", "else")
