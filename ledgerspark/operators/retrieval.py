@@ -25,12 +25,17 @@ from ledgerspark.operators.text import B, IDF_FLOOR, K1, split
 from ledgerspark.shipping import ship
 from ledgerspark.storage import States, dealt, fingerprint, shared
 
-BUCKETS = 32
-STATS = "batches array<string>, docs long, length long, mean_weight double"
+#: How files are laid out; an index keeps its own number of buckets.
+LAYOUT, BUCKETS = 2, 32
+STATS = "batches array<string>, docs long, length long, mean_weight double, layout int, buckets int"
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -55,7 +60,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def state(spark: SparkSession, path: str) -> Row | None:
     """The index's latest state; None if there is no index yet."""
-    return States(spark, path, STATS).latest()
+    now = States(spark, path, STATS).latest()
+    if now is not None and now.layout != LAYOUT:
+        raise ValueError(f"the index at {path} has layout {now.layout}, not {LAYOUT}")
+    return now
 
 
 def _read(spark: SparkSession, path: str, part: str, batches: list[str]) -> DataFrame:
@@ -82,20 +90,20 @@ def add(path: str, docs: DataFrame) -> Row:
         new = new.join(texts(spark, path, old).select("doc_id"), "doc_id", "left_anti")
     batch = uuid.uuid4().hex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
-    rows = counted(new).withColumns({"batch": F.lit(batch), "bucket": F.coalesce(bucket, F.lit(-1))})
+    buckets = now.buckets if now else BUCKETS
+    rows = counted(new).withColumns({"batch": F.lit(batch), "bucket": F.coalesce(bucket(F.col("term"), buckets), F.lit(-1))})
     # a bucket's rows go to several tasks where there are more tasks than buckets
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // BUCKETS)))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // buckets)))
     rows.repartition(n, "bucket", spread).sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("batch", "bucket").parquet(f"{path}/postings")
     written = _read(spark, path, "postings", [batch])
     if texts(spark, path, [batch]).groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
         raise ValueError("ids of texts must be there, once each")
     held = written.where("term is not null").groupBy("bucket", "term").agg(F.count("*").alias("d"))
-    held.repartition(min(n, BUCKETS), "bucket").sortWithinPartitions("bucket", "term").withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/terms")
+    held.repartition(min(n, buckets), "bucket").sortWithinPartitions("bucket", "term").withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/terms")
     batches = [*old, batch]
     total = texts(spark, path, batches).agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     terms = _terms(spark, path, batches).agg(F.avg(_weight(F.lit(total.docs), F.col("d"))).alias("mean")).first()
-    States(spark, path, STATS).add(batches, total.docs, total.length, terms["mean"] or 0.0)
+    States(spark, path, STATS).add(batches, total.docs, total.length, terms["mean"] or 0.0, LAYOUT, buckets)
     return state(spark, path)
 
 
@@ -109,7 +117,7 @@ def search(spark: SparkSession, path: str, question: str, k: int = 10) -> DataFr
     now, asked = state(spark, path), Counter(question.lower().split())
     if now is None:
         raise ValueError(f"no index at {path}")
-    mine = lambda part: _read(spark, path, part, list(now.batches)).where(F.col("bucket").isin(sorted({bucket_of(t) for t in asked})) & F.col("term").isin(list(asked)))
+    mine = lambda part: _read(spark, path, part, list(now.batches)).where(F.col("bucket").isin(sorted({bucket_of(t, now.buckets) for t in asked})) & F.col("term").isin(list(asked)))
     held = {r.term: r.d for r in mine("terms").groupBy("term").agg(F.sum("d").alias("d")).collect()}  # the question's terms
     weight = {}
     for term, d in held.items():
@@ -137,7 +145,7 @@ def search_all(path: str, questions: DataFrame, k: int = 10) -> DataFrame:
     if now is None:
         raise ValueError(f"no index at {path}")
     asked = questions.select("question_id", F.explode(split(F.lower("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    asked = asked.withColumn("bucket", bucket(F.col("term"), now.buckets))
     batches = list(now.batches)
     own = _weight(F.lit(now.docs), F.col("d"))
     weight = F.when(own >= 0, own).otherwise(F.lit(IDF_FLOOR * now.mean_weight))
@@ -152,7 +160,7 @@ def search_all(path: str, questions: DataFrame, k: int = 10) -> DataFrame:
 def index_of(docs: DataFrame) -> str:
     """The index of a frame of files, made where it isn't there yet: in the shared folder, under a name of these files."""
     spark = docs.sparkSession
-    path = shared(spark, f"bm25-{fingerprint(docs)}")
+    path = shared(spark, f"bm25-{LAYOUT}-{fingerprint(docs)}")
     if state(spark, path) is None:
         add(path, docs)
     return path
