@@ -221,3 +221,33 @@ def test_json_documents(spark, tmp_path):
     together = json_documents.tables(texts.where(name.isin("records", "more")))[""]
     assert sorted(map(tuple, together.select("a_b", "c").collect()), key=str) == [(1, '{"d":2}'), (3, None), (5, '{"d":9,"e":"x"}')]
     assert json_documents.tables(texts.where(name == "unknown")) == {} and json_documents.tables(texts.where("false")) == {}
+
+
+def test_library(spark, tmp_path):
+    from ledgerspark.sources.library import Library
+
+    para = lambda w: "\n\n".join(f"{w} number {i} " + f"{w} and some more words of it. " * 6 for i in range(4))
+    docs = spark.createDataFrame([("a", para("revenue")), ("b", para("inventory")), ("c", para("inventory")), ("d", None), ("e", ""), ("f", para("margin")), ("g", para("assets"))], "doc_id string, text string")
+    mine = Library(spark, str(tmp_path), "My Co")
+    assert mine.status() == {"client": "my_co", "documents": 0, "chunks": 0, "words": 0, "ready": False} and mine.asked("revenue").count() == 0
+    one = mine.ingest(docs.where("doc_id = 'a'"))
+    assert one["documents"] == 1 and one["chunks"] > 0
+    two = mine.ingest(docs)  # b and c have one text
+    assert two["documents"] == 3 and mine.ingest(docs) == {"documents": 0, "chunks": 0}
+    told = Library(spark, str(tmp_path), "my co").status()
+    assert told["ready"] and told["documents"] == 4 and told["chunks"] == one["chunks"] + two["chunks"] and told["words"] > 0
+    found = mine.asked("inventory number", 3).collect()
+    assert 0 < len(found) <= 3 and {r.doc_id for r in found} == {"b"} and all("inventory" in r.text for r in found)
+    assert Library(spark, str(tmp_path), "other").status()["documents"] == 0
+    with pytest.raises(ValueError):
+        Library(spark, str(tmp_path), "../x")
+
+
+def test_summary(spark):
+    from ledgerspark.operators.summary import summarized
+
+    rows = [("Revenue", 10.0, 12.0, 0), ("Net profit", 2.0, 3.5, 1), ("Cost of goods", 6.0, 0.0, 2)]
+    told = summarized(spark.createDataFrame(rows, "particulars string, fy22 double, fy23 double, row_idx int"), "row_idx", 2, "total revenue in fy23")
+    assert told["rows"] == 3 and ("Net profit", 3.5) in told["figures"] and ("Cost of goods", 6.0) in told["figures"]
+    assert told["sample"][0]["particulars"] == "Revenue" and len(told["sample"]) == 2 and told["asked"][0] == "fy23" and set(told["columns"]) == {"particulars", "fy22", "fy23", "row_idx"}
+    assert summarized(spark.createDataFrame([], "a int"))["rows"] == 0
