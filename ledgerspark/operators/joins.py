@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: A group with a RANGES-th of the rows is large; so many ranges at most, each cut from EACH rows of the sample.
 RANGES, EACH = 256, 32
+#: So many intervals, in all their bins, are sent to all tasks; more are shuffled, however small files make them look.
+FEW = 1000
 
 
 def _named(names: Sequence[str | tuple[str, str]]) -> list[tuple[str, str]]:
@@ -168,7 +170,9 @@ def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high:
     size = F.greatest(F.col("__high") - F.col("__low"), F.abs("__low") * 2.0**-52, F.abs("__high") * 2.0**-52, F.lit(1e-290))
     spans = right.withColumns({"__low": _finite(a), "__high": _finite(b)}).where("__low <= __high").withColumn("__size", F.ceil(F.log2(size)).cast("int"))
     spans = spans.withColumn("__bin", F.explode(F.array_distinct(F.array(_bin("__low", "__size"), _bin("__high", "__size")))))
-    sizes = sorted(r[0] for r in spans.select("__size").distinct().collect())  # magnitudes of doubles: 2,098 at most, few in practice
+    often = {r[0]: r[1] for r in spans.groupBy("__size").count().collect()}  # magnitudes of doubles: 2,098 at most, few in practice
+    sizes = sorted(often)
+    spans = F.broadcast(spans) if sum(often.values()) <= FEW else spans.hint("merge")
     points = left.withColumn("__at", _finite(at)).withColumn("__size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.expr("cast(array() as array<int>)")))
     points = points.where("__at is not null").withColumn("__bin", _bin("__at", "__size"))
     l, r = points.alias("l"), spans.alias("r")
@@ -184,7 +188,7 @@ def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high:
         return found
     # whether a point lies in an interval depends on its value and group alone
     names = [point, *(x for x, _ in pairs)]
-    met = found.select(*(F.col(f"`{n}`").alias(f"__m{i}") for i, n in enumerate(names))).distinct()
+    met = found.select(*(F.col(f"`{n}`").alias(f"__m{i}") for i, n in enumerate(names))).distinct().hint("merge")
     alone = left.join(met, _all([F.col(f"`{n}`").eqNullSafe(F.col(f"__m{i}")) for i, n in enumerate(names)]), "left_anti")
     return found.unionByName(alone.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in beside)))
 

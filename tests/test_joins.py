@@ -134,3 +134,21 @@ def test_overlap(spark):
     whole = lambda s: None not in s[:3] and s[1] < s[2]
     want = [(*x, *y[1:]) for x in one for y in two if whole(x) and whole(y) and x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
     assert got(overlap_join(l, r, ("a", "b"), ("c", "d"), ["g"])) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("few", [joins.FEW, 50])
+def test_many_intervals_are_not_broadcast(spark, monkeypatch, few):
+    """However small a file looks: only so many intervals as were counted go to all tasks."""
+    monkeypatch.setattr(joins, "FEW", few)
+    rng = random.Random(5)
+    points = [(i, rng.randrange(4) if i % 9 else None, rng.randrange(500)) for i in range(300)]
+    spans = [(rng.randrange(4), lo, lo + rng.randrange(1, 90)) for lo in (rng.randrange(500) for _ in range(60))]
+    left, right = spark.createDataFrame(points, "i int, g int, p int"), spark.createDataFrame(spans, "g int, lo int, hi int")
+    df = interval_join(left, right, "p", "lo", "hi", ["g"], how="left")
+    want = []
+    for i, g, p in points:
+        of = [(i, g, p, lo, hi) for h, lo, hi in spans if h == g and lo <= p < hi]
+        want += of or [(i, g, p, None, None)]
+    assert got(df) == sorted(want, key=str)
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and ("BroadcastHashJoin" in plan) == (few > 2 * len(spans))
