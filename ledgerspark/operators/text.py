@@ -7,19 +7,21 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import batched, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.batches import parts
 from ledgerspark.shipping import ship
 from ledgerspark.storage import dealt
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25  # fixed values of Okapi BM25
 CROWD = 1000  # classes of more than the 1/CROWD part of all rows, of which there are fewer than CROWD, are broadcast
-WORDS_KEPT = 1 << 20  # words whose hashes a task remembers
+WORDS_KEPT = 1 << 17  # words whose hashes a task remembers, some 250 bytes each
+VOTING = 1 << 14  # words of a text whose votes are added up at once
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 #: The same for RE2.
 SPACE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -60,18 +62,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}  # the words' rows in bits
         bits = np.zeros((0, 64), np.uint8)
-        for batch in batches:
+        for batch in parts(batches):
             if len(known) > WORDS_KEPT:
-                known, bits = {}, bits[:0]
+                known = {}
             counts = [Counter(t.split()) for t in batch.column(1).to_pylist()]
             new = list({w for c in counts for w in c if w not in known})
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            held, end = len(known), len(known) + len(new)
+            known.update(zip(new, range(held, end), strict=True))
+            if end > len(bits):
+                bits = np.concatenate([bits[:held], np.zeros((max(end, 2 * len(bits)) - held, 64), np.uint8)])
             digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[8:] for w in new)
-            bits = np.concatenate([bits, np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)])
+            bits[held:end] = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
             out = np.zeros(len(batch), np.uint64)
             for i, c in enumerate(counts):
                 if c:
-                    votes = np.fromiter(c.values(), np.float64, len(c)) @ bits[[known[w] for w in c]].astype(np.float64)
+                    votes = np.zeros(64)
+                    for some in batched(c, VOTING):
+                        votes += np.fromiter((c[w] for w in some), np.float64, len(some)) @ bits[[known[w] for w in some]].astype(np.float64)
                     out[i] = np.packbits(2 * votes > c.total()).view(">u8")[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "simhash"])
 
