@@ -353,16 +353,17 @@ def relevant(docs: DataFrame, query: str, least: float = 0.2, k: int = 3) -> Dat
     return docs.where(~non_english(F.col("text"))).select("doc_id", F.round(score, 8).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-SEEDS, MEMORY = 128, 200_000
+SEEDS, MEMORY = 128, 100_000
 
 
 class Sketcher:
-    """Signatures of sets of shingles; lives in a Python worker and remembers shingles' values, at most MEMORY of them."""
+    """Signatures of sets of shingles; lives in a Python worker and remembers shingles' values, at most 2 * MEMORY of them
+    (a hundred MB for 128 seeds, of which pages without values take none)."""
 
     def __init__(self, perms: int):
         self.seeds = [i.to_bytes(4, "little") for i in range(perms)]
         self.place: dict[str, int] = {}
-        self.values = np.empty((1024, perms), np.int64)
+        self.values = np.empty((2 * MEMORY, perms), np.uint32)
 
     def __call__(self, shingles: list[str]) -> list[int]:
         least = None
@@ -373,8 +374,6 @@ class Sketcher:
             for s in some:
                 if s not in self.place:
                     at = self.place[s] = len(self.place)
-                    if at == len(self.values):
-                        self.values = np.vstack([self.values, np.empty_like(self.values)])
                     b = s.encode()
                     digests = b"".join(hashlib.sha256(seed + b).digest()[:4] for seed in self.seeds)
                     self.values[at] = np.frombuffer(digests, "<u4")
@@ -392,7 +391,7 @@ def minhash(docs: DataFrame, id_col: str, perms: int = SEEDS, text: Column | Non
 
     def run(batches):
         sketch = Sketcher(perms)
-        for batch in batches:
+        for batch in parts(batches):
             found = [sketch(s) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], [id_col, "signature"])
 

@@ -63,3 +63,20 @@ def test_fingerprints_forget_and_vote_in_parts(spark, monkeypatch):
     monkeypatch.setattr(text, "WORDS_KEPT", 5)
     monkeypatch.setattr(text, "VOTING", 7)
     assert sorted(map(tuple, text.fingerprints(frame).collect())) == want and len(want) == 62
+
+
+def test_minhash_holds_a_part(monkeypatch, docs):
+    run = grabbed(monkeypatch, lambda: text.minhash(docs, "doc_id", 2))
+    made = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([[f"{(i + j) % 5000:03d}" for j in range(500)] for i in range(3000)])], ["doc_id", "s"])
+    rows, most = peak(run, made)
+    assert rows == 3000 and most < 30
+
+
+def test_sketcher_forgets(monkeypatch):
+    """More shingles than are remembered, within a set and over sets, change no value."""
+    sets = [[f"{i}" for i in range(a, a + n)] for a, n in ((0, 10), (5, 40), (3, 1), (30, 0), (100, 23))]
+    sketch = text.Sketcher(4)
+    want = [sketch(s) for s in sets]
+    monkeypatch.setattr(text, "MEMORY", 8)
+    small = text.Sketcher(4)
+    assert [small(s) for s in sets] == want and len(small.values) == 16 and want[3] == [0] * 4
