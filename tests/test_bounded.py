@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from ledgerspark import batches
-from ledgerspark.operators import text
+from ledgerspark.operators import retrieval, text
 
 
 def grabbed(monkeypatch, made):
@@ -80,3 +80,8 @@ def test_sketcher_forgets(monkeypatch):
     monkeypatch.setattr(text, "MEMORY", 8)
     small = text.Sketcher(4)
     assert [small(s) for s in sets] == want and len(small.values) == 16 and want[3] == [0] * 4
+
+
+def test_postings_hold_a_part(monkeypatch, docs):
+    rows, most = peak(grabbed(monkeypatch, lambda: retrieval.counted(docs)), corpus())
+    assert rows == 3000 * 301 and most < 30
