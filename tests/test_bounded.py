@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from ledgerspark import batches
+from ledgerspark.functions import formats
 from ledgerspark.operators import retrieval, text
 
 
@@ -85,3 +86,14 @@ def test_sketcher_forgets(monkeypatch):
 def test_postings_hold_a_part(monkeypatch, docs):
     rows, most = peak(grabbed(monkeypatch, lambda: retrieval.counted(docs)), corpus())
     assert rows == 3000 * 301 and most < 30
+
+
+def test_summaries_hold_a_part(spark, monkeypatch):
+    """Many texts in one batch, in parts, as one by one."""
+    texts = [None, "", "one line", *("\n".join(f"# line {j} of {i}, total 5" for j in range(900)) for i in range(300))]
+    tracemalloc.start()
+    got = formats.summary_udf.func(pa.array(texts)).to_pylist
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert got() == [None if t is None else formats.summary(t) for t in texts] and most < 4
+    assert len(formats.summary_udf.func(pa.array([], pa.string()))) == 0
