@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,25 +42,27 @@ def _children(nodes: DataFrame) -> DataFrame:
     return found.select("id", F.col("k").alias("key"), F.col("v").alias("value"))
 
 
+def _inside(value: Column) -> Column:
+    """The values one level down in one value: an object's fields, the records of a list of them."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.like(OBJECT), F.map_values(value.cast("map<string, variant>"))).when(kind.like(ROWS), value.cast("array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
 def shapes(docs: DataFrame) -> DataFrame:
-    """id, doc, shape: records, columnar, nested_tables, single_record, complex_nested or unknown."""
-    top = docs.where("doc is not null").select("id", F.col("doc").alias("value"))
-    fields = _children(top.where(f"{_kind('value')} like '{OBJECT}'"))
-    kinds = fields.select("id", "key", F.expr(_kind("value")).alias("k"))
-    told = kinds.groupBy("id").agg(
-        F.expr(f"bool_or((k like '{OBJECT}' and k <> 'OBJECT<>') or k like '{ROWS}')").alias("nested"),
-        F.expr(f"bool_and(k like '{LIST}')").alias("lists"),
-        F.expr(f"bool_or(k like '{LIST}')").alias("some"),
-        F.expr(f"min_by(k, key) like '{ROWS}'").alias("first"),
-    )
-    level = _children(top)
-    for _ in range(DEEP):
-        level = _children(level)
-    deep = level.select("id").distinct().withColumn("deep", F.lit(True))
-    both = docs.join(told, "id", "left").join(deep, "id", "left").withColumn("k", F.expr(_kind("doc")))
-    shape = f"""case when doc is null then 'unknown' when k like '{ROWS}' then 'records' when k not like '{OBJECT}' or lists is null then 'unknown'
-        when nested and deep then 'complex_nested' when lists then if(first, 'nested_tables', 'columnar') when some then 'nested_tables' else 'single_record' end"""
-    return both.select("id", "doc", F.expr(shape).alias("shape"))
+    """id, doc, shape: records, columnar, nested_tables, single_record, complex_nested or unknown. Each shape is told from the
+    document alone; nothing is shuffled, and ids may repeat."""
+    level = F.array("doc")
+    for _ in range(DEEP + 1):
+        level = F.flatten(F.transform(level, _inside))
+    fields = f"transform(map_entries(case when k like '{OBJECT}' then cast(doc as map<string, variant>) end), e -> named_struct('key', e.key, 'k', {_kind('e.value')}))"
+    told = docs.select("id", "doc").withColumn("k", F.expr(_kind("doc"))).withColumn("f", F.expr(fields))
+    told = told.withColumn("nested", F.expr(f"exists(f, x -> (x.k like '{OBJECT}' and x.k <> 'OBJECT<>') or x.k like '{ROWS}')"))
+    told = told.withColumn("deep", F.when(F.col("nested"), F.size(level) > 0))
+    shape = f"""case when doc is null then 'unknown' when k like '{ROWS}' then 'records' when k not like '{OBJECT}' or size(f) = 0 then 'unknown'
+        when deep then 'complex_nested' when forall(f, x -> x.k like '{LIST}') then if(array_min(f).k like '{ROWS}', 'nested_tables', 'columnar')
+        when exists(f, x -> x.k like '{LIST}') then 'nested_tables' else 'single_record' end"""
+    # through a generator, below which no filter on the shape is moved: it would parse the text again for each mention
+    return told.select("id", F.struct("doc", F.expr(shape).alias("shape")).alias("s")).select("id", F.inline(F.array("s")))
 
 
 def rows(shaped: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def rows(shaped: DataFrame) -> DataFrame:
     level = of("complex_nested").withColumn("table", F.lit(""))
     for _ in range(DEPTH + 1):
         level = level.withColumn("k", F.expr(_kind("value"))).persist()  # read by four plans
-        if level.isEmpty():
+        if not level.limit(1).count():  # all parts at once
             break
         found.append(level.where(f"k like '{ROWS}'").lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("value").alias("v"))).select("id", F.when(F.col("table") == "", "root").otherwise(F.col("table")).alias("table"), F.col("v").alias("value")))
         objects = level.where(f"k like '{OBJECT}'").lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("f"), F.col("value").alias("v"))).where("f is not null")

@@ -10,6 +10,8 @@ from pyspark.sql.classic.dataframe import DataFrame
 from ledgerspark import batches
 from ledgerspark.functions import formats
 from ledgerspark.operators import retrieval, text
+from ledgerspark.plans import queries as core
+from ledgerspark.sources import json_documents
 
 
 def grabbed(monkeypatch, made):
@@ -97,3 +99,15 @@ def test_summaries_hold_a_part(spark, monkeypatch):
     tracemalloc.stop()
     assert got() == [None if t is None else formats.summary(t) for t in texts] and most < 4
     assert len(formats.summary_udf.func(pa.array([], pa.string()))) == 0
+
+
+def test_json_shapes_by_row(spark, tmp_path):
+    """Shapes without a shuffle; documents of one id stay apart, and an id may be null."""
+    texts = [("1", '{"k": 1}'), ("1", '{"k": 1, "items": [{"sku": 5, "qty": 2}]}'), (None, '{"items": [{"sku": 6, "qty": 1}]}'), ("2", '{"a": {"b": {"c": {"d": 1}}}}'), ("3", '{"a": {"b": {"c": {}}}}'), ("4", "{}"), ("5", "[1]"), ("6", '[{"a": 1}]'), ("7", '{"a": [1], "b": [2]}'), ("8", "{bad"), ("9", None)]
+    shaped = json_documents.shapes(json_documents.parsed(spark.createDataFrame(texts, "id string, text string")))
+    got = sorted((str(r.id), r["shape"]) for r in shaped.select("id", "shape").collect())
+    assert got == sorted([("1", "single_record"), ("1", "nested_tables"), ("None", "nested_tables"), ("2", "complex_nested"), ("3", "single_record"), ("4", "unknown"), ("5", "unknown"), ("6", "records"), ("7", "columnar"), ("8", "unknown"), ("9", "unknown")])
+    assert "Exchange" not in shaped._jdf.queryExecution().toString()
+    spark.createDataFrame([(None if i is None else int(i), t) for i, t in texts[:3]], "click_id long, props string").write.parquet(f"{tmp_path}/clicks.parquet")
+    items = core.QUERIES["json_click_items"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, items))) == ["(1, 5, 2)", "(None, 6, 1)"]
